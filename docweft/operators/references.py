@@ -58,9 +58,8 @@ def target_counts(refs: DataFrame) -> DataFrame:
 
 def hot_targets(refs: DataFrame, permille: int) -> DataFrame:
     """The targets that hold more than ``permille`` thousandths of all refs rows, with n_refs. Null parts are values."""
-    total = refs.agg(F.count("*").alias("_total"))  # one row
-    counts = target_counts(refs)
-    return counts.join(F.broadcast(total), F.col("n_refs") * 1000 > F.col("_total") * permille).drop("_total")
+    total = refs.agg(F.count("*")).scalar()
+    return target_counts(refs).filter(F.col("n_refs") * 1000 > total * permille)
 
 
 def per_target(refs: DataFrame, *aggs: Column) -> DataFrame:
