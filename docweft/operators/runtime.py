@@ -54,3 +54,9 @@ FINE_BITS = 12
 def fine_range(h: Column) -> Column:
     """The range, 0 to 2**FINE_BITS - 1, of a signed 64-bit hash, in ascending order of the hash."""
     return (F.shiftright(h, 64 - FINE_BITS) + F.lit(2 ** (FINE_BITS - 1))).cast("int")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work in Python on few input splits; input with a split a core or more stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
