@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.llm.tokens import TOKENIZERS, Counter
-from docweft.operators.runtime import cut
+from docweft.operators.runtime import cut, spread
 
 #: Items that are packed together by one task.
 BLOCK_ITEMS = 25_000
@@ -123,7 +123,7 @@ def sized_items(documents: DataFrame, capacity: int, id_col: str = "doc_id", tex
     src = documents.select(
         F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.lower(F.btrim(source_col, F.lit(" \t\r\n"))), F.lit("")).alias("source"), F.when(F.length(folded) > 0, F.xxhash64(folded)).alias("cluster")
     )
-    return src.mapInArrow(run, _ITEM)
+    return spread(src).mapInArrow(run, _ITEM)
 
 
 _PLACED = _ITEM + ", block int, bin int, bin_tokens int"

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.operators.runtime import spread
+
 #: Length of a run that counts as repeated, least words of a case, least repeated share (as a fraction's parts).
 RUN, LEAST_WORDS, SHARE = 8, 16, (1, 3)
 #: Documents of the sample on which costs and selectivities of the rules are estimated (at most).
@@ -187,7 +189,7 @@ def repetitive_documents(documents: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array(ns, pa.int64()), pa.array(reps, pa.int64()), pa.array([r / n for r, n in zip(reps, ns)])], names=[id_col, "n_words", "n_repeated", "share"])
 
     kind = dict(documents.dtypes)[id_col]
-    return documents.select(id_col, text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_repeated bigint, share double")
+    return spread(documents.select(id_col, text_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_repeated bigint, share double")
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -227,4 +229,4 @@ def repetition_profile(documents: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.record_batch([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *[pa.array(c, pa.float64()) for c in out[2:]]], names=[id_col, "n_words", "n_repeated", "word_share", "sentence_share", "line_share", "paragraph_share"])
 
     kind = dict(documents.dtypes)[id_col]
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_repeated bigint, word_share double, sentence_share double, line_share double, paragraph_share double")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_repeated bigint, word_share double, sentence_share double, line_share double, paragraph_share double")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweft.operators.runtime import spread
+
 #: Penalty of a cut by what ends there. Fixed values of the cost model.
 PENALTIES = {"end": 0.0, "paragraph": 0.0, "step": 0.6, "line": 1.2, "sentence": 2.0, "word": 6.0, "anywhere": 25.0}
 #: Added to a cut inside a fenced block.
@@ -20,7 +22,7 @@ PER_PIECE, IMBALANCE = 3.0, 4.0
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n[ \t\r\n]*(?=\S)")
 _STEP = re.compile(r"\n(?=[ \t]*(?:\d+[.)]|[-*+]|#{1,6}) )")
 _LINE = re.compile(r"\n(?=.)", re.S)
-_SENTENCE = re.compile(r"[.!?][\"'”’)\]*_`]*[ \t]+(?=\S)")
+_SENTENCE = re.compile(r"[.!?][\"'”’)\]*_`]*[ \t]+(?=\S)|[。！？．][」』）”’]*(?=\S)")
 _WORD = re.compile(r"\s+(?=\S)")
 _FENCE = re.compile(r"(?m)^ {0,3}(```|~~~)")
 _KINDS = ["end", "paragraph", "step", "line", "sentence", "word", "anywhere"]
@@ -141,4 +143,4 @@ def split_oversized(rows: DataFrame, limit: int, overlap: int, id_col: str = "id
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
     big = rows.filter(F.char_length(text_col) > limit).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return big.mapInArrow(run, "id bigint, piece_no int, n_pieces int, start bigint, end bigint, overlap int, boundary string, piece string")
+    return spread(big).mapInArrow(run, "id bigint, piece_no int, n_pieces int, start bigint, end bigint, overlap int, boundary string, piece string")
