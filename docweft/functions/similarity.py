@@ -6,7 +6,7 @@ import re
 
 
 def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
-    """Jaro-Winkler similarity, 0 to 1; 1 for two empty texts."""
+    """Jaro-Winkler similarity, 0 to 1; 1 for two empty texts. Common prefixes count only above 0.7."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -23,8 +23,10 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
     m = len(left)
     if not m:
         return 0.0
-    moved = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken) if t))) / 2
+    moved = sum(x != y for x, y in zip(left, (c for c, t in zip(b, taken) if t))) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     for x, y in zip(a[:longest], b[:longest]):
         if x != y:

@@ -20,9 +20,10 @@ FIELDS = ("anchor", "title", "content_text")
 def _unaccented() -> tuple[str, str]:
     src, dst = [], []
     for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFD", chr(cp).lower())[0]
-        if base != chr(cp).lower() and base.isascii():
-            src.append(chr(cp).lower()), dst.append(base)
+        low = chr(cp).lower()
+        base = unicodedata.normalize("NFD", low)[0]
+        if len(low) == 1 and low == chr(cp) and base != low and base.isascii():
+            src.append(low), dst.append(base)
     return "".join(src), "".join(dst)
 
 

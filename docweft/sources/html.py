@@ -202,16 +202,19 @@ def _heading_id(h: Node) -> str:
 
 
 def _steps_after(dfn: Node) -> Node | None:
-    """The ordered list that a definition introduces: in or right after its paragraph or container."""
+    """The ordered list that a definition introduces: the next element after it in its container, or after its
+    paragraph there."""
+    branch: Node = dfn
     for box in dfn.up():
-        if box.tag in ("p", "dt", "dd", "div", "section", "emu-clause"):
-            if any(isinstance(c, Node) and c.tag == "ol" for c in box.children):
-                return next(c for c in box.children if isinstance(c, Node) and c.tag == "ol")
-            if box.tag == "p" and box.parent is not None:
-                rest = box.parent.children[box.parent.children.index(box) + 1 :]
-                nxt = next((c for c in rest if isinstance(c, Node)), None)
-                return nxt if nxt is not None and nxt.tag == "ol" else None
+        if box.tag in ("pre", "table", "nav"):
             return None
+        at = next(i for i, c in enumerate(box.children) if c is branch)
+        nxt = next((c for c in box.children[at + 1 :] if isinstance(c, Node) and c.tag in _BLOCK), None)
+        if nxt is not None and nxt.tag == "ol":
+            return nxt
+        if box.tag in _BLOCK - {"p"} | {"dd", "dt", "li", "emu-clause"}:
+            return None
+        branch = box
     return None
 
 
@@ -266,8 +269,11 @@ def extract(html: str, spec: str, base_url: str, bases: dict[str, str]) -> dict[
             steps = _steps_after(n)
             marked = any("data-algorithm" in x.attrs or x.has_class("algorithm") for x in n.up()) or n.attrs.get("data-dfn-type") == "abstract-op"
             kind = "algorithm" if steps is not None or marked else "idl" if n.attrs.get("data-dfn-type") in ("interface", "attribute", "method", "dictionary", "enum", "callback") else "definition"
-            box = next((x for x in n.up() if x.tag in ("p", "dd", "dt", "div", "section", "li")), None)
-            text = markdown(Node("div")) if box is None else markdown(box) or _squeeze(_inline(box))
+            box = next((x for x in n.up() if x.tag in ("p", "dd", "dt", "div", "section", "li", "pre")), None)
+            holder = Node("div")
+            if box is not None:
+                holder.children.append(box)
+            text = markdown(holder)
             if steps is not None and box is not None and steps.parent is not box:
                 holder = Node("div")
                 holder.children.append(steps)
@@ -357,7 +363,8 @@ def extract_pages(pages: DataFrame, specs: dict[str, str]) -> DataFrame:
             for spec, base, html in zip(pdf["spec"], pdf["base_url"], pdf["html"]):
                 for item, found in extract(html, spec, base or "", bases).items():
                     rows += [{"spec": spec, "item": item} | r for r in found]
-            out = pd.DataFrame(rows, columns=["spec", *_FIELDS])
+            out = pd.DataFrame(rows, columns=["spec", *_FIELDS], dtype=object)
+            out = out.where(out.notna(), None)
             for c in ("ord", "depth"):
                 out[c] = out[c].astype("Int32")
             yield out
