@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Texts may be very long: batches to Python workers are bounded in bytes, not only in rows.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "64m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,4 +27,6 @@ def ship(spark: SparkSession) -> None:
                     p = os.path.join(folder, f)
                     z.write(p, os.path.relpath(p, os.path.dirname(root)))
     spark.sparkContext.addPyFile(target)
+    if not spark.sparkContext.getConf().contains(BATCH_CONF):
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     _shipped.add(app)
