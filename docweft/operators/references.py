@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions.columns import FOREVER, NO_INSTANT, instant, key_hashes, norm_anchor, norm_spec
-from docweft.operators.runtime import FINE_BITS, fine_range, join_dim, partitions, place
+from docweft.operators.runtime import FINE_BITS, cut, fine_range, join_dim, partitions, place
 from docweft.operators.snapshots import full_snapshots
 
 KINDS = ("step", "note", "idl", "prose")
@@ -182,6 +182,7 @@ def orphan_references(refs: DataFrame, sections: DataFrame, snapshots: DataFrame
     full = full_snapshots(snapshots, sections)
     every = snapshots.filter("id is not null").groupBy(F.col("id").alias("snapshot_id")).agg(F.min("spec_id").alias("spec_id"), F.min(instant(F.col("commit_date"))).alias("t"))
     dims = every.join(full.select("snapshot_id", "next_instant", F.lit(True).alias("is_full")), "snapshot_id", "left").join(names, "spec_id", "left").select("snapshot_id", "spec", "t", "is_full", "next_instant")
+    dims = cut(dims)  # counted, broadcast and joined twice
 
     h = key_hashes(F.col("spec"), F.col("anchor"))
     held = join_dim(sections.select("snapshot_id", "anchor").filter("snapshot_id is not null and anchor is not null"), dims.filter("spec is not null"), "snapshot_id")

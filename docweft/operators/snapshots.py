@@ -128,7 +128,7 @@ def snapshot_changes(sections: DataFrame, snapshots: DataFrame) -> DataFrame:
     merged range by range with two pointers in constant memory. As the key holds the snapshot, any boundary between
     ranges is right, so a hot spec or anchor is split like all else. Only digests travel, never texts.
     """
-    full = full_snapshots(snapshots, sections).select("snapshot_id", "spec_id", "seq", "prev_id", "next_id")
+    full = cut(full_snapshots(snapshots, sections).select("snapshot_id", "spec_id", "seq", "prev_id", "next_id"))
     rows = join_dim(anchor_rows(sections), full, "snapshot_id")
     keep = ("spec_id", "anchor", "digest", "section_id")
     sides = F.explode(
@@ -160,7 +160,7 @@ def attribute_history(sections: DataFrame, snapshots: DataFrame, block: int = HI
     start give the validity. Islands are built within blocks of ``block`` snapshots, so a key that holds a third of all
     rows is spread; only islands that touch a block's edge meet again in a second, far smaller pass.
     """
-    full = full_snapshots(snapshots, sections).select("snapshot_id", "spec_id", "seq", "instant", "next_instant")
+    full = cut(full_snapshots(snapshots, sections).select("snapshot_id", "spec_id", "seq", "instant", "next_instant"))
     rows = join_dim(anchor_rows(sections), full, "snapshot_id").withColumn("block", F.floor((F.col("seq") - 1) / block))
     first_level = rows.select(
         "spec_id", "anchor", "block", "digest", F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"), F.col("snapshot_id").alias("first_snapshot_id"), F.col("snapshot_id").alias("last_snapshot_id"), "section_id", "instant", "next_instant", F.lit(1).cast("bigint").alias("n_snapshots")
