@@ -39,11 +39,14 @@ class CatalogError(ValueError):
 
 
 def load_catalog(text: str) -> list[Rule]:
-    """Rules from JSON: ``{"schema": 1, "rules": [{"id", "kind", "pattern", "params"?, "subject"?, "exclude"?}]}``.
+    """Rules from JSON, or YAML where a reader for it is installed: ``{"schema": 1, "rules": [{"id", "kind", "pattern", "params"?, "subject"?, "exclude"?}]}``.
 
     Unknown keys, double ids, unknown kinds and patterns that do not compile are errors.
     """
-    doc = json.loads(text)
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        doc = _yaml(text)
     if not isinstance(doc, dict) or doc.get("schema") != 1 or set(doc) - {"schema", "package", "rules"}:
         raise CatalogError("a catalog has schema 1 and rules")
     rules, seen = [], set()
@@ -64,6 +67,28 @@ def load_catalog(text: str) -> list[Rule]:
     return rules
 
 
+def _yaml(text: str):
+    try:
+        import yaml
+    except ImportError as e:
+        raise CatalogError("the catalog is not JSON, and no YAML reader is installed") from e
+
+    class Strict(yaml.SafeLoader):
+        pass
+
+    def mapping(loader, node):
+        keys = [loader.construct_object(k) for k, _ in node.value]
+        if len(keys) != len(set(keys)):
+            raise CatalogError("a key stands twice")
+        return loader.construct_mapping(node, deep=True)
+
+    Strict.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, mapping)
+    try:
+        return yaml.load(text, Strict)  # noqa: S506
+    except yaml.YAMLError as e:
+        raise CatalogError(str(e)) from e
+
+
 #: Rules for the wording of the numbered steps in this project's data.
 DEFAULT_RULES = [
     Rule("queue-step", "scheduling.enqueue", r"(?i)\bqueue (?:a|an|the) (\w+ \w+)", {"queue": "$1"}),

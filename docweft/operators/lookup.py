@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions.columns import ascii_lower
+from docweft.functions.markdown import transform_content
 from docweft.operators.corpus import Corpus, first_rows, section_url
 
 #: Lists of queries are literals of the plan; longer lists belong into a table.
@@ -55,9 +57,12 @@ def resolve_targets(corpus: Corpus, targets: DataFrame, col: str = "target") ->
     )
 
 
-def specs_list(corpus: Corpus) -> DataFrame:
-    """The indexed specs: spec, base_url, provider, sha, commit_date."""
-    return corpus.current.select("spec", "base_url", "provider", "sha", "commit_date")
+def specs_list(corpus: Corpus, providers: list[str] = ()) -> DataFrame:
+    """The indexed specs: spec, base_url, provider, sha, commit_date; of the given providers (any case), none means all."""
+    current = corpus.current
+    if providers:
+        current = current.filter(F.lower("provider").isin([p.lower() for p in providers]))
+    return current.select("spec", "base_url", "provider", "sha", "commit_date")
 
 
 # ---- sections ------------------------------------------------------------------------------------------------------
@@ -246,3 +251,46 @@ def pr_overlay(corpus: Corpus) -> DataFrame:
     rows = corpus.tables.sections.filter("anchor is not null").select("snapshot_id", "anchor", F.col("id").alias("section_id"), "ord").join(sources, "snapshot_id")
     rows = rows.withColumn("_late", 1 - F.col("from_pr"))
     return first_rows(rows.select("pr_snapshot_id", "anchor", "_late", "ord", "section_id", "from_pr"), ["pr_snapshot_id", "anchor"], ["_late", "ord", "section_id"]).select("pr_snapshot_id", "anchor", "section_id", "from_pr")
+
+
+def pr_pages(corpus: Corpus) -> DataFrame:
+    """The pages of each pull request: snapshot_id, page_no (from 1), page; empty entries are skipped."""
+    pages = F.filter(F.split(F.col("pr_pages"), ","), lambda p: p != "")
+    return corpus.tables.snapshots.filter("pr_number is not null").select(F.col("id").alias("snapshot_id"), F.posexplode(pages).alias("_i", "page")).select("snapshot_id", (F.col("_i") + 1).alias("page_no"), "page")
+
+
+# ---- targets outside the corpus, call sites, callers ---------------------------------------------------------------
+
+
+def unindexed_specs(corpus: Corpus) -> DataFrame:
+    """Specs that references name but the corpus does not hold: to_spec, n_refs, n_specs (that refer to it)."""
+    r = corpus.refs.filter("to_spec is not null").groupBy("to_spec", "spec").agg(F.count("*").alias("n"))
+    gone = r.join(corpus.current.select(F.col("spec").alias("to_spec")), "to_spec", "left_anti")
+    return gone.groupBy("to_spec").agg(F.sum("n").alias("n_refs"), F.count("*").alias("n_specs"))
+
+
+def call_sites(corpus: Corpus) -> DataFrame:
+    """The addresses of call sites: id (of the reference), call_site_id, url. An id without a colon names its target
+    from anywhere, so it is no call site."""
+    base = corpus.current.select("spec", "base_url", "provider")
+    r = corpus.refs.filter(F.col("call_site_id").contains(":")).select("id", "spec", "call_site_id")
+    return r.join(base, "spec").select("id", "call_site_id", section_url(F.col("base_url"), F.col("provider"), F.col("call_site_id")).alias("url"))
+
+
+def callers(corpus: Corpus, limit: int = 20) -> DataFrame:
+    """Who calls each algorithm: to_spec, to_anchor, n_calls, n_callers, more (callers beyond the first ``limit``),
+    callers (the first ones by name). Calls are combined by caller before any come together by callee."""
+    c = algorithm_calls(corpus).groupBy("to_spec", "to_anchor", F.concat("spec", F.lit("#"), "anchor").alias("caller")).agg(F.count("*").alias("n"))
+    counts = c.groupBy("to_spec", "to_anchor").agg(F.sum("n").alias("n_calls"), F.count("*").alias("n_callers"))
+    w = Window.partitionBy("to_spec", "to_anchor").orderBy("caller")
+    first = c.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).groupBy("to_spec", "to_anchor").agg(F.array_join(F.array_sort(F.collect_list("caller")), " ").alias("callers"))
+    return counts.join(first, ["to_spec", "to_anchor"]).select("to_spec", "to_anchor", "n_calls", "n_callers", F.greatest(F.col("n_callers") - limit, F.lit(0)).alias("more"), "callers")
+
+
+def contents(corpus: Corpus, links: str = "short", asides: bool = False) -> DataFrame:
+    """Section contents reshaped for readers: spec, anchor, content (see ``functions.markdown.transform_content``)."""
+    @F.pandas_udf("string")
+    def reshape(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: transform_content(t, links, asides), na_action="ignore")
+
+    return corpus.sections.select("spec", "anchor", reshape("content_text").alias("content"))

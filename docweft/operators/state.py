@@ -229,3 +229,21 @@ def omitted_runs(steps: DataFrame, kept: DataFrame) -> DataFrame:
     parents = s.filter("_k = 1").select("spec", "anchor", F.col("step_path").alias("parent_path"))
     told = runs.filter("parent_path is null").unionByName(runs.filter("parent_path is not null").join(parents, ["spec", "anchor", "parent_path"], "left_semi").select(*runs.columns))
     return told.groupBy("spec", "anchor", "parent_path", "_g").agg(F.min_by("step_path", "step_no").alias("first_path"), F.max_by("step_path", "step_no").alias("last_path"), F.sum("_size").alias("n_steps")).select("spec", "anchor", "parent_path", "first_path", "last_path", "n_steps")
+
+
+def possible_unlinked(all_sites: DataFrame, names: DataFrame, most: int = 10_000) -> DataFrame:
+    """Opaque statements whose text holds the name of a field they do not link to: field, node, step_path.
+
+    names: field, name. Up to ``most`` names are broadcast and looked for as they stand; more are joined by their first
+    word, so that each text meets only names it can hold.
+    """
+    opaque = all_sites.filter("class = 'opaque'").select("node", "step_path", "text").distinct()
+    names = names.select("field", fold_name(F.col("name")).alias("_name")).filter("_name <> ''").distinct()
+    linked = all_sites.select("node", "step_path", "field").distinct()
+    low = opaque.withColumn("_low", fold_name(F.col("text")))
+    if names.limit(most + 1).count() <= most:
+        hit = low.join(F.broadcast(names), F.contains(F.col("_low"), F.col("_name")))
+    else:
+        words = low.select("node", "step_path", "_low", F.explode(F.array_distinct(F.split("_low", r"[^\p{L}\p{N}]+"))).alias("_w"))
+        hit = words.join(names.withColumn("_w", F.regexp_extract("_name", r"[\p{L}\p{N}]+", 0)), "_w").filter(F.contains(F.col("_low"), F.col("_name")))
+    return hit.select("field", "node", "step_path").distinct().join(linked, ["node", "step_path", "field"], "left_anti").select("field", "node", "step_path")

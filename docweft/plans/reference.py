@@ -95,6 +95,31 @@ def spec_dependencies(spark, path):
     return L.spec_dependencies(_corpus(spark, path))
 
 
+def pr_pages(spark, path):
+    return L.pr_pages(_corpus(spark, path))
+
+
+def unindexed_specs(spark, path):
+    return L.unindexed_specs(_corpus(spark, path))
+
+
+def call_sites(spark, path):
+    return L.call_sites(_corpus(spark, path))
+
+
+def callers(spark, path):
+    return L.callers(_corpus(spark, path), 3)
+
+
+def contents_short(spark, path):
+    return L.contents(_corpus(spark, path))
+
+
+def state_unlinked(spark, path):
+    c = _corpus(spark, path)
+    return S.possible_unlinked(S.sites(steps_of(c)), S.fields(c).select(F.col("canonical_name").alias("field"), "name"))
+
+
 def pr_overlay(spark, path):
     return L.pr_overlay(_corpus(spark, path))
 
@@ -230,7 +255,7 @@ def checks_due(spark, path):
 QUERIES = {
     f.__name__: f
     for f in (
-        specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_overlay, pr_diff, section_diff,
+        specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, state_unlinked, pr_overlay, pr_diff, section_diff,
         ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_summaries,
         state_fields, state_types, algorithm_views, slices_forward, omitted_runs, source_addresses, step_drift, checks_due,
     )
@@ -363,6 +388,15 @@ SELECT spec, anchor, tree_parent, lag(anchor) OVER w AS tree_prev, lead(anchor)
     "distinct_links": _CORPUS + "SELECT spec, anchor, to_spec, to_anchor, ord FROM edge",
     "algorithm_calls": _CORPUS + "SELECT c.spec, from_anchor AS anchor, t_spec AS to_spec, t_anchor AS to_anchor, step_path, min(c.ord) AS first_ord FROM cref c JOIN sec s ON s.spec = t_spec AND s.anchor = t_anchor AND s.section_type = 'algorithm' WHERE c.kind = 'step' GROUP BY ALL",
     "spec_dependencies": _CORPUS + "SELECT spec, t_spec AS to_spec, count(*) AS n_refs FROM cref WHERE spec <> t_spec GROUP BY ALL",
+    "pr_pages": "SELECT id AS snapshot_id, row_number() OVER (PARTITION BY id ORDER BY i) AS page_no, page FROM (SELECT id, generate_subscripts(string_split(pr_pages, ','), 1) AS i, unnest(string_split(pr_pages, ',')) AS page FROM snapshots WHERE pr_number IS NOT NULL AND pr_pages IS NOT NULL) WHERE page <> ''",
+    "unindexed_specs": _CORPUS + "SELECT t_spec AS to_spec, count(*) AS n_refs, count(DISTINCT spec) AS n_specs FROM cref WHERE t_spec NOT IN (SELECT spec FROM cur) GROUP BY ALL",
+    "call_sites": _CORPUS
+    + """SELECT r.id, x.call_site_id, CASE WHEN provider = 'itu' THEN base_url WHEN ends_with(base_url, '.html') THEN base_url || '#' || x.call_site_id ELSE rtrim(base_url, '/') || '/#' || x.call_site_id END AS url
+FROM cref r JOIN refs x ON x.id = r.id JOIN cur c ON c.spec = r.spec WHERE contains(x.call_site_id, ':')""",
+    "callers": _CORPUS
+    + """, k AS (SELECT DISTINCT t_spec, t_anchor, c.spec || '#' || from_anchor AS caller, step_path FROM cref c JOIN sec s ON s.spec = t_spec AND s.anchor = t_anchor AND s.section_type = 'algorithm' WHERE c.kind = 'step'),
+q AS (SELECT t_spec, t_anchor, caller, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY t_spec, t_anchor ORDER BY caller) AS i FROM q)
+SELECT t_spec AS to_spec, t_anchor AS to_anchor, CAST(sum(n) AS BIGINT) AS n_calls, count(*) AS n_callers, greatest(count(*) - 3, 0) AS more, string_agg(caller, ' ' ORDER BY caller) FILTER (i <= 3) AS callers FROM g GROUP BY ALL""",
     "pr_overlay": _SQL_FULL
     + """, pr AS (SELECT p.id, b.snapshot_id AS base FROM snapshots p LEFT JOIN (SELECT f.snapshot_id, f.spec_id, lower(s.sha) AS sha FROM full_snaps f JOIN snapshots s ON s.id = f.snapshot_id) b ON b.spec_id = p.spec_id AND b.sha = lower(p.merge_base_sha) WHERE p.pr_number IS NOT NULL),
 x AS (SELECT pr.id AS pr_snapshot_id, anchor, s.id AS section_id, 1 AS from_pr, ord FROM pr JOIN sections s ON s.snapshot_id = pr.id UNION ALL SELECT pr.id, anchor, s.id, 0, ord FROM pr JOIN sections s ON s.snapshot_id = pr.base)

@@ -265,6 +265,18 @@ def extract(html: str, spec: str, base_url: str, bases: dict[str, str]) -> dict[
                     body.children.append(c)
             add(anchor, title, "heading", int(n.tag[1]), number, markdown(body) or None)
             at = anchor
+        elif n.tag == "emu-clause" and n.attrs.get("id"):
+            head = next((c for c in n.children if isinstance(c, Node) and c.tag == "h1"), None)
+            title = "" if head is None else _squeeze("".join(x if isinstance(x, str) else "" if x.has_class("secnum", "secno") else x.text() for x in head.children))
+            number = None if head is None else next((_squeeze(x.text()) for x in head.walk() if x.tag == "span" and x.has_class("secnum", "secno")), None)
+            body = Node("div")
+            body.children = [c for c in n.children if not (isinstance(c, Node) and c.tag in ("h1", "emu-clause"))]
+            depth = min(6, 2 + sum(x.tag == "emu-clause" for x in n.up()))
+            steps = next((x for c in body.children if isinstance(c, Node) for x in c.walk() if x.tag == "emu-alg"), None)
+            add(n.attrs["id"], title, "algorithm" if steps is not None else "heading", depth, number, markdown(body) or None)
+            at = n.attrs["id"]
+            if steps is not None:
+                bodies[at] = steps
         elif n.tag == "dfn" and n.attrs.get("id"):
             steps = _steps_after(n)
             marked = any("data-algorithm" in x.attrs or x.has_class("algorithm") for x in n.up()) or n.attrs.get("data-dfn-type") == "abstract-op"
@@ -286,10 +298,10 @@ def extract(html: str, spec: str, base_url: str, bases: dict[str, str]) -> dict[
 
     last_at: dict[int, str] = {}
     for s in sections:
-        d = s["depth"] if s["section_type"] == "heading" else 7
+        d = s["depth"] if s["depth"] else 7
         above = [k for k in last_at if k < d]
         s["parent_anchor"] = last_at[max(above)] if above else None
-        if s["section_type"] == "heading":
+        if s["depth"]:
             last_at = {k: v for k, v in last_at.items() if k < d} | {d: s["anchor"]}
     near: dict[tuple, dict] = {}
     for s in sections:

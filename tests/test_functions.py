@@ -166,3 +166,20 @@ def test_catalogs():
     for bad in ('{"schema": 2}', ok.replace("event.fire", "nope"), ok.replace("$1", "$2"), ok.replace('"id"', '"what": 1, "id"'), '{"schema": 1, "rules": [{"id": "a"}]}', ok.replace("[{", '[{"id": "a", "kind": "event.fire", "pattern": "z"}, {')):
         with pytest.raises(effects.CatalogError):
             effects.load_catalog(bad)
+
+
+def test_yaml_catalogs():
+    pytest.importorskip("yaml")
+    text = "schema: 1\nrules:\n  - id: a\n    kind: event.fire\n    pattern: 'x (y)'\n    params: {name: $1}\n"
+    assert effects.load_catalog(text)[0].params == {"name": "$1"}
+    for bad in (text + "    kind: event.fire\n", "a: [", "- 1"):
+        with pytest.raises(effects.CatalogError):
+            effects.load_catalog(bad)
+
+
+def test_clauses():
+    page = "<emu-clause id=sec-a><h1><span class=secnum>7.1</span> ToIt ( x )</h1><p>It does.</p><emu-alg><ol><li>Return <emu-xref href='#sec-b'>b</emu-xref>.</ol></emu-alg><emu-clause id=sec-b><h1>B</h1></emu-clause></emu-clause>"
+    got = H.extract(page, "E", "https://e.example/", {})
+    a, b = got["section"]
+    assert (a["title"], a["number"], a["section_type"], b["parent_anchor"], b["depth"]) == ("ToIt ( x )", "7.1", "algorithm", "sec-a", 3)
+    assert [s.path for s in S.parse_steps(a["content_text"])] == ["1"] and got["ref"][0]["step_path"] == "1"

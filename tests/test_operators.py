@@ -259,3 +259,21 @@ def test_export(spark, tmp_path):
     assert copy.sections.join(copy.snapshots.withColumnRenamed("id", "sid"), F.col("snapshot_id") == F.col("sid"), "left_anti").count() == 0
     with pytest.raises(ValueError):
         export(c, str(tmp_path / "y"), most_bytes=10)
+
+
+def test_names(spark):
+    from docweft.functions import names as N
+
+    rows = spark.createDataFrame([("rfc0791",), ("RFC9110",), ("draft-x-y-02",), ("draft-x",), ("g.711.1",), ("rfcx",)], "n string")
+    n = F.col("n")
+    got = [tuple(r) for r in rows.select(N.is_ietf(n), N.canonical_ietf(n), N.pinned_revision(n), N.is_itu(n), N.canonical_itu(n)).collect()]
+    assert [g[1] for g in got[:4]] == ["RFC791", "RFC9110", "draft-x-y", "draft-x"] and [g[2] for g in got[:4]] == [None, None, "02", None]
+    assert [g[0] for g in got] == [True, True, True, True, False, False] and got[4][3:] == (True, "G.711.1")
+
+
+def test_unlinked(spark):
+    sites = spark.createDataFrame([("A.x", "opaque", "n", "1", "Frob the big Name now"), ("A.name", "opaque", "n", "2", "Frob the name")], "field string, class string, node string, step_path string, text string")
+    names = spark.createDataFrame([("A.name", "name"), ("A.big", "`big`  name")], "field string, name string")
+    want = {("A.name", "n", "1"), ("A.big", "n", "1")}
+    for most in (10, 1):
+        assert {tuple(r) for r in state.possible_unlinked(sites, names, most).collect()} == want
