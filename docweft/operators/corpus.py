@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.functions.columns import norm_anchor, norm_spec
-from docweft.operators.runtime import join_dim
+from docweft.operators.runtime import cut, join_dim
 from docweft.operators.snapshots import full_snapshots
 from docweft.sources.tables import Tables
 
@@ -17,11 +17,11 @@ from docweft.sources.tables import Tables
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of rows with equal keys the one first in order (nulls last); the order-preserving distinct of all operators.
 
-    Rows whose keys are null form groups of their own. Partial aggregation reduces repeated rows before the shuffle.
+    Rows whose keys are null form groups of their own. The rank is limited on the map side before the shuffle, so
+    repeated rows do not gather, and columns that are not asked for later are never read.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    by = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
-    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return rows.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
 
 
 def section_url(base_url: Column, provider: Column, anchor: Column) -> Column:
@@ -31,13 +31,14 @@ def section_url(base_url: Column, provider: Column, anchor: Column) -> Column:
 
 @dataclass
 class Corpus:
-    """Current views over the tables of one directory; each is a plan, nothing is read before it is used."""
+    """Current views over the tables of one directory. Each is a plan; only the order of the full snapshots, on which all
+    others build, is worked out once, when it is first used."""
 
     tables: Tables
 
     @cached_property
     def full(self) -> DataFrame:
-        return full_snapshots(self.tables.snapshots, self.tables.sections)
+        return cut(full_snapshots(self.tables.snapshots, self.tables.sections))
 
     @cached_property
     def current(self) -> DataFrame:
