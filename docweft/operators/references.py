@@ -178,7 +178,7 @@ def orphan_references(refs: DataFrame, sections: DataFrame, snapshots: DataFrame
     range's parents.
     """
     spark = refs.sparkSession
-    names = specs.select(F.col("id").alias("spec_id"), norm_spec(F.col("name")).alias("spec"))
+    names = specs.groupBy(F.col("id").alias("spec_id")).agg(F.min(norm_spec(F.col("name"))).alias("spec"))
     full = full_snapshots(snapshots, sections)
     every = snapshots.filter("id is not null").groupBy(F.col("id").alias("snapshot_id")).agg(F.min("spec_id").alias("spec_id"), F.min(instant(F.col("commit_date"))).alias("t"))
     dims = every.join(full.select("snapshot_id", "next_instant", F.lit(True).alias("is_full")), "snapshot_id", "left").join(names, "spec_id", "left").select("snapshot_id", "spec", "t", "is_full", "next_instant")
@@ -238,8 +238,8 @@ def orphan_references(refs: DataFrame, sections: DataFrame, snapshots: DataFrame
 
 def orphan_report(orphans: DataFrame, snapshots: DataFrame, specs: DataFrame) -> DataFrame:
     """Orphans per referring spec, month of the referring snapshot's commit (UTC, null if unreadable) and reason."""
-    snaps = snapshots.select(F.col("id").alias("snapshot_id"), "spec_id", instant(F.col("commit_date")).alias("t"))
+    snaps = snapshots.groupBy(F.col("id").alias("snapshot_id")).agg(F.min("spec_id").alias("spec_id"), F.min(instant(F.col("commit_date"))).alias("t"))
     per = orphans.groupBy("snapshot_id", "reason").agg(F.count("*").alias("n"))
-    named = per.join(snaps, "snapshot_id", "left").join(specs.select(F.col("id").alias("spec_id"), F.col("name").alias("spec")), "spec_id", "left")
+    named = per.join(snaps, "snapshot_id", "left").join(specs.groupBy(F.col("id").alias("spec_id")).agg(F.min("name").alias("spec")), "spec_id", "left")
     month = F.when(F.col("t") > NO_INSTANT, F.date_format(F.timestamp_micros("t"), "yyyy-MM"))
     return named.groupBy("spec", month.alias("month"), "reason").agg(F.sum("n").alias("n_refs"))

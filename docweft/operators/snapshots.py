@@ -21,14 +21,15 @@ def full_snapshots(snapshots: DataFrame, sections: DataFrame) -> DataFrame:
     one sections row. Result: snapshot_id, spec_id, sha, commit_date, instant (microseconds), seq (1, 2, ... by instant
     then id), prev_id, next_id and next_instant (null at the ends).
 
-    Rows without id or spec_id are ignored. A null sha equals no other sha. An unreadable commit_date sorts first.
+    Rows without id or spec_id are ignored; of rows with equal ids the least (spec_id, pr_number, sha, commit_date)
+    stands. A null sha equals no other sha. An unreadable commit_date sorts first.
     """
     delivered = sections.select(F.col("snapshot_id")).filter("snapshot_id is not null").distinct()
+    one = snapshots.filter("id is not null and spec_id is not null").groupBy("id").agg(F.min(F.struct("spec_id", "pr_number", "sha", "commit_date")).alias("_s")).select("id", "_s.*")
     first = (
-        snapshots.filter("pr_number is null and id is not null and spec_id is not null")
-        .select("id", "spec_id", "sha", "commit_date", F.coalesce(F.lower("sha"), F.concat(F.lit("#"), "id")).alias("_sha"))
-        .groupBy("spec_id", "_sha")
-        .agg(F.min_by(F.struct("id", "sha", "commit_date"), "id").alias("_s"))
+        one.filter("pr_number is null")
+        .groupBy("spec_id", F.coalesce(F.lower("sha"), F.concat(F.lit("#"), "id")).alias("_sha"))
+        .agg(F.min(F.struct("id", "sha", "commit_date")).alias("_s"))
         .select("spec_id", F.col("_s.id").alias("snapshot_id"), "_s.sha", "_s.commit_date", instant(F.col("_s.commit_date")).alias("instant"))
     )
     order = Window.partitionBy("spec_id").orderBy("instant", "snapshot_id")

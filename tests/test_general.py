@@ -154,6 +154,21 @@ def test_extra_columns_with_names_used_inside(spark):
         hierarchies(se2, keep=("level",))
 
 
+def test_repeated_rows_change_nothing(spark):
+    snaps, secs = dirty(2)
+    specs = [(1, "S1", "b", "p"), (2, "S2", "b", "p"), (3, "S3", "b", "p")]
+    refs = [ref(i, 1 + i % 14, f"s{1 + i % 3}", "abcdxyz"[i % 7]) for i in range(60)]
+    make = lambda k: [spark.createDataFrame(d * k, SCHEMAS[n]) for d, n in ((refs, "refs"), (secs, "sections"), (snaps, "snapshots"), (specs, "specs"))]
+    (r1, se1, sn1, sp1), (_, se2, sn2, sp2) = make(1), make(2)
+    key = lambda df: sorted(map(str, df.collect()))
+    sh = empty(spark, "shared_anchors")
+    assert key(snapshot_changes(se1, sn1)) == key(snapshot_changes(se2, sn2))
+    assert key(attribute_history(se1, sn1)) == key(attribute_history(se2, sn2))
+    assert key(hierarchies(se1)) == key(hierarchies(se2))
+    one, two = (orphan_references(r1, se, sn, sp, sh) for se, sn, sp in ((se1, sn1, sp1), (se2, sn2, sp2)))
+    assert key(one) == key(two) and key(orphan_report(one, sn1, sp1)) == key(orphan_report(two, sn2, sp2))
+
+
 def test_full_snapshots_least_id_counts_even_without_sections(spark):
     sn = spark.createDataFrame([snapshot(1, 1, "AB", "2021-01-01T00:00:00Z"), snapshot(2, 1, "ab", "2021-01-02T00:00:00Z")], SNAPSHOT)
     se = spark.createDataFrame([section(1, 2, "x", "t")], SECTION)
