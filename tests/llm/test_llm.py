@@ -326,3 +326,20 @@ def test_chance_collisions_are_looked_at(monkeypatch):
 def test_cascade_orders_by_rejection_per_cost():
     est = [("length", 1e-6, 0.1), ("vocabulary", 2e-5, 0.3), ("pairs", 1e-4, 0.9), ("fours", 1e-3, 0.95), ("exact", 2e-4, 0.0)]
     assert repetition.cascade(est) == ["length", "vocabulary", "pairs"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_blocks_are_packed_alike_in_any_batches(size):
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rows = sorted(((b, -r.randrange(1, 60), i) for b in range(5) for i in range(40)))
+    t = pa.table(
+        [pa.array([i for _, _, i in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int64()), pa.array([-n for _, n, _ in rows], pa.int32()), pa.array(["a"] * len(rows)), pa.array([i % 30 for _, _, i in rows], pa.int64()), pa.array([b for b, _, _ in rows], pa.int32())],
+        names=["doc_id", "piece_no", "first_token", "n_tokens", "source", "cluster", "block"],
+    )
+    run = packing._packer(64, None)
+    got = [tuple(x.values()) for b in run(iter(t.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+    assert got == [tuple(x.values()) for b in run(iter(t.to_batches())) for x in b.to_pylist()] and len(got) == len(rows)
+    loose = [x for b in packing._packer(64, 0.01)(iter(t.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+    assert len(loose) == len(rows) and all(x["bin"] is None or x["bin_tokens"] >= 64 * 0.99 for x in loose)
