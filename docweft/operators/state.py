@@ -247,3 +247,36 @@ def possible_unlinked(all_sites: DataFrame, names: DataFrame, most: int = 10_000
         words = low.select("node", "step_path", "_low", F.explode(F.array_distinct(F.split("_low", r"[^\p{L}\p{N}]+"))).alias("_w"))
         hit = words.join(names.withColumn("_w", F.regexp_extract("_name", r"[\p{L}\p{N}]+", 0)), "_w").filter(F.contains(F.col("_low"), F.col("_name")))
     return hit.select("field", "node", "step_path").distinct().join(linked, ["node", "step_path", "field"], "left_anti").select("field", "node", "step_path")
+
+
+def bindings(corpus: Corpus) -> DataFrame:
+    """Arguments of calls bound to the parameters of the algorithms they call: ref_id, spec, anchor, to_spec, to_anchor,
+    param, value, via, confidence, issues (comma-separated). A call of an algorithm without parameters gives one row with
+    a null param; a callee outside the corpus gives none.
+
+    Each callee's text travels to its calls only as its list of parameters.
+    """
+    from docweft.functions import signatures as G
+
+    params_of = "array<struct<name:string,optional:boolean,default:string>>"
+
+    @F.udf(params_of, useArrow=True)
+    def params(text):
+        return G.signature(text)
+
+    callee = algorithms(corpus).select(F.col("spec").alias("to_spec"), F.col("anchor").alias("to_anchor"), params("content_text").alias("params"))
+    calls = corpus.refs.filter("kind = 'step' and step_text is not null").select(F.col("id").alias("ref_id"), "spec", F.col("from_anchor").alias("anchor"), "to_spec", "to_anchor", "step_text")
+    schema = pa.schema([("ref_id", pa.int64()), *[(c, pa.string()) for c in ("spec", "anchor", "to_spec", "to_anchor", "param", "value", "via", "confidence", "issues")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                found = G.arguments(r["step_text"], r["to_anchor"]) or ([], {})
+                args, sure, issues = G.bind(r["params"] or [], *found)
+                head = (r["ref_id"], r["spec"], r["anchor"], r["to_spec"], r["to_anchor"])
+                out += [(*head, *a, sure, ",".join(issues)) for a in args or [(None, None, None)]]
+            cols = list(zip(*out)) if out else [[]] * len(schema)
+            yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return calls.join(callee, ["to_spec", "to_anchor"]).mapInArrow(run, "ref_id bigint, spec string, anchor string, to_spec string, to_anchor string, param string, value string, via string, confidence string, issues string")

@@ -115,6 +115,10 @@ def contents_short(spark, path):
     return L.contents(_corpus(spark, path))
 
 
+def call_bindings(spark, path):
+    return S.bindings(_corpus(spark, path))
+
+
 def state_unlinked(spark, path):
     c = _corpus(spark, path)
     return S.possible_unlinked(S.sites(steps_of(c)), S.fields(c).select(F.col("canonical_name").alias("field"), "name"))
@@ -255,7 +259,7 @@ def checks_due(spark, path):
 QUERIES = {
     f.__name__: f
     for f in (
-        specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, state_unlinked, pr_overlay, pr_diff, section_diff,
+        specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, call_bindings, state_unlinked, pr_overlay, pr_diff, section_diff,
         ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_summaries,
         state_fields, state_types, algorithm_views, slices_forward, omitted_runs, source_addresses, step_drift, checks_due,
     )

@@ -183,3 +183,18 @@ def test_clauses():
     a, b = got["section"]
     assert (a["title"], a["number"], a["section_type"], b["parent_anchor"], b["depth"]) == ("ToIt ( x )", "7.1", "algorithm", "sec-a", 3)
     assert [s.path for s in S.parse_steps(a["content_text"])] == ["1"] and got["ref"][0]["step_path"] == "1"
+
+
+def test_signatures_and_bindings():
+    from docweft.functions import signatures as G
+
+    text = "To open a door, given a *door*, a boolean *fast* and an optional *key* (default null):\n\n1. Let *x* be *door*."
+    params = G.signature(text)
+    assert [(p["name"], p["optional"], p["default"]) for p in params] == [("door", False, None), ("fast", False, None), ("key", True, "null")]
+    assert G.signature("1. Let *x* be 1.") == [] and G.signature(None) == [] and G.signature("Some *x* with *y*.") == []
+    call = "Run [open](https://a.example/#open) given « *a*, *b* », true, and *key* set to 5. Then go."
+    assert G.arguments(call, "open") == (["« *a*, *b* »", "true"], {"key": "5"}) and G.arguments(call, "other") is None
+    args, sure, issues = G.bind(params, *G.arguments(call, "open"))
+    assert args == [("door", "« *a*, *b* »", "positional"), ("fast", "true", "positional"), ("key", "5", "named")] and (sure, issues) == ("exact", [])
+    assert G.bind(params, ["*a*"], {"nope": "1"})[1:] == ("partial", ["unknown_parameter", "missing_argument"])
+    assert G.bind(params, [], {})[1] == "unbound" and G.bind([], ["x"], {})[2] == ["surplus_argument"] and G.bind([], [], {}) == ([], "exact", [])
