@@ -241,5 +241,6 @@ def orphan_report(orphans: DataFrame, snapshots: DataFrame, specs: DataFrame) ->
     snaps = snapshots.groupBy(F.col("id").alias("snapshot_id")).agg(F.min("spec_id").alias("spec_id"), F.min(instant(F.col("commit_date"))).alias("t"))
     per = orphans.groupBy("snapshot_id", "reason").agg(F.count("*").alias("n"))
     named = per.join(snaps, "snapshot_id", "left").join(specs.groupBy(F.col("id").alias("spec_id")).agg(F.min("name").alias("spec")), "spec_id", "left")
-    month = F.when(F.col("t") > NO_INSTANT, F.date_format(F.timestamp_micros("t"), "yyyy-MM"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / 86_400_000_000).cast("int"))  # in UTC, whatever the session's zone
+    month = F.when(F.col("t") > NO_INSTANT, F.date_format(day, "yyyy-MM"))
     return named.groupBy("spec", month.alias("month"), "reason").agg(F.sum("n").alias("n_refs"))
