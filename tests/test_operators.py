@@ -277,3 +277,22 @@ def test_unlinked(spark):
     want = {("A.name", "n", "1"), ("A.big", "n", "1")}
     for most in (10, 1):
         assert {tuple(r) for r in state.possible_unlinked(sites, names, most).collect()} == want
+
+
+def test_store(spark, tmp_path):
+    from docweft.sources import store
+
+    path = str(tmp_path / "sections")
+    rows = spark.createDataFrame([(f"S{i % 9}", f"a{i % 20}", i % 3, i) for i in range(200)], "spec string, anchor string, ord int, v int")
+    store.write_table(rows, path, keys=["spec", "anchor"], order=["ord", "v"])
+    whole = spark.read.parquet(path)
+    assert whole.count() == rows.select("spec", "anchor").distinct().count()
+    one = store.read_specs(spark, path, ["S3"])
+    assert {r.spec for r in one.collect()} == {"S3"}
+    assert "spec_bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    before = {tuple(r) for r in whole.drop("spec_bucket").collect()}
+    store.replace_specs(spark.createDataFrame([("S3", "new", 0, 1), ("S4", "no", 0, 1)], rows.schema), spark.createDataFrame([("S3",), ("S5",)], "spec string"), path)
+    after = {tuple(r) for r in spark.read.parquet(path).drop("spec_bucket").collect()}
+    assert after == {r for r in before if r[0] not in ("S3", "S5")} | {("S3", "new", 0, 1)}
+    arrays = spark.createDataFrame([("S", [("x",), ("y",)])], "spec string, items array<struct<anchor:string>>")
+    assert [(r.ord, r.anchor) for r in store.with_ord(arrays, "items", ["spec"]).collect()] == [(0, "x"), (1, "y")]
