@@ -231,22 +231,37 @@ def omitted_runs(steps: DataFrame, kept: DataFrame) -> DataFrame:
     return told.groupBy("spec", "anchor", "parent_path", "_g").agg(F.min_by("step_path", "step_no").alias("first_path"), F.max_by("step_path", "step_no").alias("last_path"), F.sum("_size").alias("n_steps")).select("spec", "anchor", "parent_path", "first_path", "last_path", "n_steps")
 
 
-def possible_unlinked(all_sites: DataFrame, names: DataFrame, most: int = 10_000) -> DataFrame:
+def _word_at(name: Column) -> Column:
+    """The longest run of letters, digits and underscores in a name, empty where it has none."""
+    return F.coalesce(F.array_max(F.transform(F.split(name, r"[^\p{L}\p{N}_]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
+
+
+def possible_unlinked(statements: DataFrame, names: DataFrame, most: int = 10_000) -> DataFrame:
     """Opaque statements whose text holds the name of a field they do not link to: field, node, step_path.
 
-    names: field, name. Up to ``most`` names are broadcast and looked for as they stand; more are joined by their first
-    word, so that each text meets only names it can hold.
+    statements: steps (steps_of), of which all opaque ones are examined; or sites(), which know only statements that
+    name a slot. names: field, name. A name counts where it stands in whole words. A statement links to a field by its
+    slot, which holds the field or its bare name. Each text meets the names whose longest word it holds, so no text is
+    searched for every name; up to ``most`` names travel by broadcast, more by a shuffle, with the same rows.
     """
-    opaque = all_sites.filter("class = 'opaque'").select("node", "step_path", "text").distinct()
-    names = names.select("field", fold_name(F.col("name")).alias("_name")).filter("_name <> ''").distinct()
-    linked = all_sites.select("node", "step_path", "field").distinct()
-    low = opaque.withColumn("_low", fold_name(F.col("text")))
-    if names.limit(most + 1).count() <= most:
-        hit = low.join(F.broadcast(names), F.contains(F.col("_low"), F.col("_name")))
+    if "class" in statements.columns:
+        opaque = statements.filter("class = 'opaque'").select("node", "step_path", "text").distinct()
+        links = statements.groupBy("node", "step_path").agg(F.collect_set(fold_name(F.col("field"))).alias("_links"))
+        opaque = opaque.join(links, ["node", "step_path"])
     else:
-        words = low.select("node", "step_path", "_low", F.explode(F.array_distinct(F.split("_low", r"[^\p{L}\p{N}]+"))).alias("_w"))
-        hit = words.join(names.withColumn("_w", F.regexp_extract("_name", r"[\p{L}\p{N}]+", 0)), "_w").filter(F.contains(F.col("_low"), F.col("_name")))
-    return hit.select("field", "node", "step_path").distinct().join(linked, ["node", "step_path", "field"], "left_anti").select("field", "node", "step_path")
+        opaque = statements.filter("kind = 'opaque'").select(node().alias("node"), "step_path", "text", F.transform(F.concat("writes", "reads"), fold_name).alias("_links"))
+    names = names.select("field", fold_name(F.col("name")).alias("_name")).filter("field is not null and _name <> ''").distinct()
+    keyed = names.withColumn("_w", _word_at(F.col("_name")))
+    low = opaque.withColumn("_low", fold_name(F.col("text")))
+    # the empty word leads to names without any letter or digit
+    words = low.select("node", "step_path", "_low", "_links", F.explode(F.array_union(F.split("_low", r"[^\p{L}\p{N}_]+"), F.array(F.lit("")))).alias("_w"))
+    small = names.limit(most + 1).count() <= most
+    bare = r"[\p{L}\p{N}_]"
+    literal = F.concat(F.lit(r"\Q"), F.replace(F.col("_name"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    whole = F.concat(F.when(F.col("_name").rlike(f"^{bare}"), f"(?<!{bare})").otherwise(""), literal, F.when(F.col("_name").rlike(f"{bare}$"), f"(?!{bare})").otherwise(""))
+    hit = words.join(F.broadcast(keyed) if small else keyed, "_w").filter(F.contains("_low", "_name"))
+    hit = hit.filter(F.regexp_like("_low", whole) & ~F.array_contains("_links", F.col("_name")) & ~F.array_contains("_links", fold_name(F.col("field"))))
+    return hit.select("field", "node", "step_path").distinct()
 
 
 def bindings(corpus: Corpus) -> DataFrame:

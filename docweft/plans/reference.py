@@ -121,7 +121,7 @@ def call_bindings(spark, path):
 
 def state_unlinked(spark, path):
     c = _corpus(spark, path)
-    return S.possible_unlinked(S.sites(steps_of(c)), S.fields(c).select(F.col("canonical_name").alias("field"), "name"))
+    return S.possible_unlinked(steps_of(c), S.fields(c).select(F.col("canonical_name").alias("field"), "name"))
 
 
 def pr_overlay(spark, path):

@@ -279,6 +279,15 @@ def test_unlinked(spark):
         assert {tuple(r) for r in state.possible_unlinked(sites, names, most).collect()} == want
 
 
+def test_unlinked_steps(spark):
+    steps = [("S", "n", "1", "Frob the name.", "opaque", [], []), ("S", "n", "2", "Frob *x*.[[name]], renamed.", "opaque", [], ["name"]), ("S", "n", "3", "Frob the names and the open() of it", "opaque", [], []), ("S", "n", "4", "Return the name", "return", [], []), ("S", "n", "5", "Mark a big name-tag", "opaque", [], []), ("S", "n", "6", "Use ++ here", "opaque", [], [])]
+    df = spark.createDataFrame(steps, "spec string, anchor string, step_path string, text string, kind string, writes array<string>, reads array<string>")
+    names = spark.createDataFrame([("A.name", "name"), ("B.name", "Name"), ("A.big", "big name"), ("A.open", "open()"), ("A.plus", "++"), ("A.am", "am")], "field string, name string")
+    want = {("A.name", "S#n", "1"), ("B.name", "S#n", "1"), ("A.open", "S#n", "3"), ("A.name", "S#n", "5"), ("B.name", "S#n", "5"), ("A.big", "S#n", "5"), ("A.plus", "S#n", "6")}
+    for most in (10_000, 1):
+        assert {tuple(r) for r in state.possible_unlinked(df, names, most).collect()} == want
+
+
 def test_store(spark, tmp_path):
     from docweft.sources import store
 
