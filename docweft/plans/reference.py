@@ -196,15 +196,29 @@ def effect_calls(spark, path):
 
 
 def effect_occurrences(spark, path):
+    """The part that SQL can read: only steps that hold a step reference. effect_occurrences_all has every step."""
     return E.match_rules(_ref_steps(_corpus(spark, path)), E.DEFAULT_RULES).select("node", "step_path", "kind", "params", F.array_join("rule_ids", ",").alias("rules"))
 
 
 def effect_states(spark, path):
+    """The part that SQL can read: kinds on steps that hold a step reference. effect_states_all has every step and effect."""
     c = _corpus(spark, path)
     local = E.match_rules(_ref_steps(c), E.DEFAULT_RULES).select("node", F.col("kind").alias("effect"))
     return E.propagate(E.call_edges(c).filter("relation <> 'mention'"), local).select("node", "effect", "exec", "distance")
 
 
+def effect_occurrences_all(spark, path):
+    """The effects of every step of every algorithm."""
+    c = _corpus(spark, path)
+    return E.Effects(c, steps_of(c)).local().select("node", "step_path", "kind", "params", "effect", F.array_join("rule_ids", ",").alias("rules"))
+
+
+def effect_states_all(spark, path):
+    """Effects (kind and parameters) of every step, propagated along calls."""
+    c = _corpus(spark, path)
+    return E.Effects(c, steps_of(c)).states().groupBy("node", "effect", "exec").agg(F.min("distance").alias("distance"))
+
+
 def effect_summaries(spark, path):
     c = _corpus(spark, path)
     return E.preview(E.Effects(c, steps_of(c)).summaries())
@@ -260,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, call_bindings, state_unlinked, pr_overlay, pr_diff, section_diff,
-        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_summaries,
+        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_occurrences_all, effect_states_all, effect_summaries,
         state_fields, state_types, algorithm_views, slices_forward, omitted_runs, source_addresses, step_drift, checks_due,
     )
 }
