@@ -171,6 +171,33 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 6, max_pat
     return first.select("source", "target", F.row_number().over(by_length).alias("path_no"), F.size("via").alias("hops"), "path", "via")
 
 
+def traces(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+    """Every simple path of at most ``max_depth`` links from any source to any target: source, target, path_no, hops,
+    path, via. The rows of simple_paths for all pairs, without its limit of paths.
+
+    edges: src, dst, ord, id, where parallel links are paths of their own; sources, targets: id. Paths grow once a source
+    for all its targets; one that can reach no target within the rest of the depth is cut at once.
+    """
+    goal = targets.select("id").filter("id is not null").distinct()
+    back = edges.select("src", "dst").distinct().unionByName(goal.select(F.col("id").alias("src"), F.lit("").alias("dst")))
+    near = distances(back, edges.sparkSession.createDataFrame([("",)], "id string"), max_depth + 1).filter("distance > 0").select(F.col("id").alias("to"), (F.col("distance") - 1).alias("_left"))
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("ord").cast("int").alias("ord"), F.col("id").cast("bigint").alias("id"))
+    open_ = sources.select(F.col("id").alias("source")).filter("source is not null").distinct().select("source", F.col("source").alias("at"), F.array("source").alias("path"), F.expr("cast(array() as array<struct<ord:int,id:bigint>>)").alias("order"))
+    done = []
+    for depth in range(1, max_depth + 1):
+        grown = open_.join(step, "at").filter(~F.array_contains("path", F.col("to"))).join(near.filter(F.col("_left") <= max_depth - depth), "to")
+        open_ = cut(grown.select("source", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("order", F.array(F.struct("ord", "id"))).alias("order"), (F.col("_left") == 0).alias("ends")))
+        done.append(open_.filter("ends").drop("ends"))
+        open_ = open_.drop("ends")
+        if open_.isEmpty():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    w = Window.partitionBy("source", "target").orderBy(F.size("order"), "order")
+    return out.withColumn("target", F.col("at")).select("source", "target", F.row_number().over(w).alias("path_no"), F.size("order").alias("hops"), "path", F.col("order.id").alias("via"))
+
+
 def closure(links: DataFrame, roots: DataFrame, cap: int = 64) -> DataFrame:
     """What each root depends on, breadth first, heavier links first: root, id, depth, rank (at most ``cap`` a root).
 

@@ -171,12 +171,20 @@ def graph_distances(spark, path):
 
 
 def trace_paths(spark, path):
+    """The part that SQL can list: pairs at distance 2, paths of at most 3 distinct links. trace_paths_all has the rest."""
     c = _corpus(spark, path)
     edges = G.node_edges(c)
     pairs = G.distances(edges, _algorithms(c), 2).filter("distance = 2").select(F.col("id").alias("source"), "target")
     return G.simple_paths(edges, pairs, 3, 1000).select("source", "target", "hops", F.array_join("path", " > ").alias("way"))
 
 
+def trace_paths_all(spark, path):
+    """Every path of at most 6 references from any section to any algorithm; parallel references are paths of their own."""
+    c = _corpus(spark, path)
+    links = c.refs.filter("from_anchor is not null and to_anchor is not null and to_spec is not null").select(node("spec", "from_anchor").alias("src"), node("to_spec", "to_anchor").alias("dst"), "ord", "id").filter("src <> dst")
+    return G.traces(links, c.sections.select(node().alias("id")), _algorithms(c), 6).select("source", "target", "path_no", "hops", F.array_join("path", " > ").alias("way"), F.array_join(F.col("via").cast("array<string>"), " ").alias("via"))
+
+
 def dependency_closure(spark, path):
     c = _corpus(spark, path)
     links = L.spec_dependencies(c).select(F.col("spec").alias("src"), F.col("to_spec").alias("dst"), F.col("n_refs").alias("n"))
@@ -274,7 +282,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, call_bindings, state_unlinked, pr_overlay, pr_diff, section_diff,
-        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_occurrences_all, effect_states_all, effect_summaries,
+        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, trace_paths_all, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_occurrences_all, effect_states_all, effect_summaries,
         state_fields, state_types, algorithm_views, slices_forward, omitted_runs, source_addresses, step_drift, checks_due,
     )
 }
