@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweft.functions.similarity import classify, longest_increasing
-from docweft.operators.lookup import url_key
+from docweft.operators.lookup import ancestors, base_depth, url_key
 
 _ADDRESS = r"https?://[^\s<>()\[\]\"'`]+#[^\s<>()\[\]\"'`]+"
 #: A step comment: comment sign, optional word "step", number, optional dot, text. Fixed value.
@@ -22,15 +22,14 @@ def scan_addresses(files: DataFrame, specs: DataFrame, key: str = "path", text:
     """Addresses of sections in texts: key, match_no, spec, anchor, url. Trailing punctuation is no part of an anchor.
 
     All addresses are taken in one pass over each text and joined to the specs by host and path, instead of one pattern
-    of all bases; a page below a base belongs to it.
+    of all bases; a page at any depth below a base belongs to it, below several to the longest.
     """
     found = files.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"({_ADDRESS})"), 1)).alias("match_no", "url"))
     found = found.withColumn("url", F.rtrim("url", F.lit(".,;:!?")))
     bases = specs.filter("base_url is not null").groupBy(url_key(F.col("base_url")).alias("_k")).agg(F.min("name").alias("spec"))
     parts = found.withColumn("_k", url_key(F.col("url"))).withColumn("anchor", F.substring_index("url", "#", -1)).filter("anchor <> ''")
-    # a page below a base: try the address itself and its parent
-    tries = parts.select("*", F.explode(F.array(F.struct(F.lit(0).alias("up"), F.col("_k").alias("k")), F.struct(F.lit(1).alias("up"), F.regexp_replace("_k", r"/[^/]*$", "").alias("k")))).alias("t"))
-    hit = tries.join(bases, tries["t.k"] == bases["_k"]).select(key, "match_no", "url", "anchor", "spec", "t.up")
+    tries = parts.select(key, "match_no", "url", "anchor", F.inline(ancestors(F.col("_k"), base_depth(bases))))
+    hit = tries.join(bases, tries["k"] == bases["_k"]).select(key, "match_no", "url", "anchor", "spec", "up")
     return hit.groupBy(key, "match_no", "url", "anchor").agg(F.min_by("spec", "up").alias("spec")).select(key, "match_no", "spec", "anchor", "url")
 
 

@@ -39,22 +39,37 @@ def url_key(url: Column) -> Column:
     return F.rtrim(F.regexp_replace(bare, r"(?:index|overview)\.html$", ""), F.lit("/"))
 
 
+def base_depth(keys: DataFrame) -> int:
+    """The most path parts of any base key (_k); no deeper ancestor of an address can be a base."""
+    return keys.agg(F.max(F.size(F.split("_k", "/")))).first()[0] or 1
+
+
+def ancestors(key: Column, most: int) -> Column:
+    """An address key and all that it lies below, of at most ``most`` path parts: array of struct(up, k), up counting the
+    parts left out."""
+    parts = F.split(key, "/")
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most))), lambda n: F.struct((F.size(parts) - n).alias("up"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("k")))
+
+
 def resolve_targets(corpus: Corpus, targets: DataFrame, col: str = "target") -> DataFrame:
     """Each target with spec (registered name), anchor, base_url, provider and error (invalid_target, spec_not_found).
 
-    A target names its spec by name, in any case, or by the address of its base or of a page below it.
+    A target names its spec by name, in any case, or by the address of its base or of a page at any depth below it; of
+    several bases above a page the longest stands.
     """
     specs = corpus.tables.specs
     t = targets.withColumn("_t", parse_target(F.col(col))).select(*targets.columns, F.col("_t.base").alias("_b"), F.col("_t.anchor").alias("anchor"), F.col("_t.error").alias("_e"))
     is_url = F.col("_b").contains("/")
     key = F.when(is_url, url_key(F.col("_b"))).otherwise(F.lower("_b"))
-    names = specs.select(F.lower("name").alias("_k"), "name", "base_url", "provider").unionByName(specs.select(url_key(F.col("base_url")).alias("_k"), "name", "base_url", "provider"))
-    names = names.groupBy("_k").agg(F.min(F.struct("name", "base_url", "provider")).alias("_s"))
-    return (
-        t.withColumn("_k", key)
-        .join(names, "_k", "left")
-        .select(*targets.columns, F.col("_s.name").alias("spec"), "anchor", F.col("_s.base_url").alias("base_url"), F.col("_s.provider").alias("provider"), F.coalesce("_e", F.when(F.col("_s").isNull(), F.lit("spec_not_found"))).alias("error"))
-    )
+    bases = specs.filter("base_url is not null").select(url_key(F.col("base_url")).alias("_k"), "name", "base_url", "provider")
+    names = specs.select(F.lower("name").alias("_k"), "name", "base_url", "provider").unionByName(bases)
+    first = F.min(F.struct("name", "base_url", "provider")).alias("_s")
+    t = t.withColumn("_k", key)
+    exact = t.select("_k").distinct().join(names.groupBy("_k").agg(first), "_k").select("_k", F.lit(0).alias("up"), "_s")
+    below = t.filter(is_url).select("_k").distinct().select("_k", F.inline(ancestors(F.col("_k"), base_depth(bases)))).filter("up > 0")
+    below = below.join(bases.groupBy(F.col("_k").alias("k")).agg(first), "k").select("_k", "up", "_s")
+    found = exact.unionByName(below).groupBy("_k").agg(F.min_by("_s", "up").alias("_s"))
+    return t.join(found, "_k", "left").select(*targets.columns, F.col("_s.name").alias("spec"), "anchor", F.col("_s.base_url").alias("base_url"), F.col("_s.provider").alias("provider"), F.coalesce("_e", F.when(F.col("_s").isNull(), F.lit("spec_not_found"))).alias("error"))
 
 
 def specs_list(corpus: Corpus, providers: list[str] = ()) -> DataFrame:
