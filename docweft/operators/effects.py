@@ -140,24 +140,31 @@ def match_rules(steps: DataFrame, rules: list[Rule]) -> DataFrame:
     return kept.select("node", "kind", "params", F.when(F.col("_best") > 0, F.col("_all")).otherwise(F.col("rule_ids")).alias("rule_ids"), "step_path", "step_no")
 
 
-def call_edges(corpus: Corpus) -> DataFrame:
-    """Calls between algorithms: src, dst, relation, exec. A step reference whose text holds an action verb (bare, or
-    ending in -ing or -ed) runs inline; any other to an algorithm is a candidate with unknown execution; to anything
-    else a mention, which carries nothing."""
+def call_steps(corpus: Corpus) -> DataFrame:
+    """Calls between algorithms, step by step: src, dst, relation, exec, step_path. A step reference whose text holds an
+    action verb (bare, or ending in -ing or -ed) runs inline; any other to an algorithm is a candidate with unknown
+    execution; to anything else a mention, which carries nothing."""
     verb = r"(?i)\b(?:" + "|".join(VERBS) + r")(?:s|ing|ed|d)?\b"
     kinds = corpus.sections.select(F.col("spec").alias("to_spec"), F.col("anchor").alias("to_anchor"), "section_type")
     r = corpus.refs.filter("from_anchor is not null and to_anchor is not null and kind = 'step'").join(kinds, ["to_spec", "to_anchor"], "left")
     relation = F.when(F.coalesce(F.col("section_type") != "algorithm", F.lit(True)), "mention").when(F.col("step_text").rlike(verb), "invoke").otherwise("candidate_invoke")
     each = r.select(node("spec", "from_anchor").alias("src"), node("to_spec", "to_anchor").alias("dst"), relation.alias("relation"), F.when(F.col("step_text").rlike(r"(?i)\bin parallel\b"), SEPARATE).when(relation == "invoke", INLINE).otherwise(UNKNOWN).alias("exec"), "step_path")
-    return each.groupBy("src", "dst", "relation", "exec").agg(F.min("step_path").alias("step_path"))
+    return each.distinct()
+
+
+def call_edges(corpus: Corpus) -> DataFrame:
+    """Calls between algorithms: src, dst, relation, exec and the first step_path of each."""
+    return call_steps(corpus).groupBy("src", "dst", "relation", "exec").agg(F.min("step_path").alias("step_path"))
 
 
-def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = None, max_states: int | None = None) -> DataFrame:
+def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = None, max_states: int | None = None, own_blocked: DataFrame | None = None) -> DataFrame:
     """All states (node, effect, exec) with the least distance to their origin and the next node on such a way.
 
     edges: src, dst, exec (no mentions); local: node, effect. A caller has every effect of its callees; its execution is
     the greatest of the edge's and the callee's. ``blocked`` (src, dst, effect) holds what does not cross an edge, where
-    the caller's own, more specific effect stands for it. Rounds of one join each, over new states only, until there
+    the caller's own, more specific effect stands for it; ``own_blocked`` (src, dst, exec, effect) only what the callee has
+    itself, while the same effect of the callee's callees crosses. With it, an effect that a node both has (distance 0) and
+    inherits inline stands in two rows. Rounds of one join each, over new states only, until there
     are none; the number of states is at most nodes x effects x 3. Beyond ``max_states`` the result is partial, and says
     so in its column ``partial``.
     """
@@ -166,10 +173,13 @@ def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = No
     delta, rounds, partial = seen, 0, False
     while True:
         rounds += 1
-        came = delta.select(F.col("node").alias("dst"), "effect", F.col("exec").alias("_x")).join(e, "dst").select("src", "dst", "effect", F.greatest("exec", "_x").alias("exec"))
+        came = delta.select(F.col("node").alias("dst"), "effect", F.col("exec").alias("_x")).join(e, "dst").select("src", "dst", "effect", F.col("exec").alias("_e"), F.greatest("exec", "_x").alias("exec"))
         if blocked is not None:
             came = came.join(blocked.select("src", "dst", "effect"), ["src", "dst", "effect"], "left_anti")
-        new = came.groupBy(F.col("src").alias("node"), "effect", "exec").agg(F.min("dst").alias("next_node")).join(seen.select("node", "effect", "exec"), ["node", "effect", "exec"], "left_anti")
+        if own_blocked is not None and rounds == 1:
+            came = came.join(own_blocked.select("src", "dst", F.col("exec").alias("_e"), "effect"), ["src", "dst", "_e", "effect"], "left_anti")
+        met = seen if own_blocked is None else seen.filter("distance > 0")
+        new = came.groupBy(F.col("src").alias("node"), "effect", "exec").agg(F.min("dst").alias("next_node")).join(met.select("node", "effect", "exec"), ["node", "effect", "exec"], "left_anti")
         delta = cut(new.select("node", "effect", "exec", F.lit(rounds).alias("distance"), "next_node"))
         if delta.isEmpty():
             break
@@ -180,12 +190,23 @@ def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = No
     return seen.withColumn("partial", F.lit(partial))
 
 
-def block_specialised(edges: DataFrame, at_steps: DataFrame) -> DataFrame:
-    """(src, dst, effect) that do not cross because the caller's step that makes the call has the same kind of effect
-    with parameters at least as known. edges: src, dst, step_path; at_steps: node, step_path, kind, effect, known."""
-    own = at_steps.select(F.col("node").alias("src"), "step_path", "kind", F.col("known").alias("_k"))
-    theirs = at_steps.select(F.col("node").alias("dst"), "kind", "effect", "known")
-    return edges.join(own, ["src", "step_path"]).join(theirs, ["dst", "kind"]).filter("_k >= known").select("src", "dst", "effect").distinct()
+def block_specialised(sites: DataFrame, local: DataFrame) -> DataFrame:
+    """(src, dst, exec, effect) that do not cross because at every step that makes the call the caller has an effect of
+    the same kind that shares a rule with the callee's own and whose parameters are equal to its or dominate them: the
+    same names, all known values of the callee kept, others filled in.
+
+    sites: src, dst, exec, step_path; local: node, step_path, kind, effect, params, rule_ids.
+    """
+    sites = sites.select("src", "dst", "exec", "step_path").distinct()
+    own = local.groupBy("node", "kind", "effect", "params").agg(F.array_distinct(F.flatten(F.collect_list("rule_ids"))).alias("rules"))
+    at = sites.join(local.select(F.col("node").alias("src"), "step_path", F.col("effect").alias("_own")).distinct(), ["src", "step_path"])
+    at = at.join(own.select(F.col("node").alias("src"), "kind", F.col("effect").alias("_own"), F.col("params").alias("_params"), F.col("rules").alias("_rules")), ["src", "_own"])
+    both = at.join(own.withColumnRenamed("node", "dst"), ["dst", "kind"]).filter(F.arrays_overlap("_rules", "rules"))
+    more, less = (F.from_json(c, "map<string,string>") for c in ("_params", "params"))
+    keeps = F.forall(F.map_keys(less), lambda n: F.map_contains_key(more, n) & (F.element_at(less, n).isNull() | F.element_at(less, n).eqNullSafe(F.element_at(more, n))))
+    hit = both.filter((F.col("_own") == F.col("effect")) | ((F.size(more) == F.size(less)) & keeps)).select("src", "dst", "exec", "step_path", "effect").distinct()
+    n = sites.groupBy("src", "dst", "exec").agg(F.count("*").alias("_n"))
+    return hit.groupBy("src", "dst", "exec", "effect").agg(F.count("*").alias("_b")).join(n, ["src", "dst", "exec"]).filter("_b = _n").select("src", "dst", "exec", "effect")
 
 
 def category_rank(kind: Column) -> Column:
@@ -212,14 +233,18 @@ class Effects:
         return call_edges(self.corpus).filter("relation <> 'mention'")
 
     def states(self, max_states: int | None = None) -> DataFrame:
-        return propagate(self.calls(), self.local(), max_states=max_states)
+        return self._states(cut(self.local()), max_states)
+
+    def _states(self, local: DataFrame, max_states: int | None = None) -> DataFrame:
+        calls = cut(call_steps(self.corpus).filter("relation <> 'mention'"))
+        return propagate(calls, local, max_states=max_states, own_blocked=cut(block_specialised(calls, local)))
 
     def summaries(self) -> DataFrame:
         """Per section and effect: node, effect, kind, category_rank, params, executions, local_sites, distance."""
         local = cut(self.local())
         names = local.groupBy("effect").agg(F.min("kind").alias("kind"), F.min("params").alias("params"))
         sites = local.groupBy("node", "effect").agg(F.count("*").alias("local_sites"))
-        states = propagate(self.calls(), local)
+        states = self._states(local)
         per = states.groupBy("node", "effect").agg(F.array_join(F.transform(F.array_sort(F.collect_set("exec")), lambda x: F.element_at(F.array(*map(F.lit, EXECUTION)), x + 1)), ",").alias("executions"), F.min("distance").alias("distance"))
         return per.join(F.broadcast(names) if len(self.rules) < 64 and names.limit(100_001).count() <= 100_000 else names, "effect").join(sites, ["node", "effect"], "left").select("node", "effect", "kind", category_rank(F.col("kind")).alias("category_rank"), "params", "executions", F.coalesce("local_sites", F.lit(0)).alias("local_sites"), "distance")
 
@@ -236,16 +261,17 @@ def witnesses(states: DataFrame, wanted: DataFrame, max_depth: int = 64) -> Data
 
     Ways follow the predecessors that propagation recorded, all at once, one join a step.
     """
-    best = states.groupBy("node", "effect").agg(F.min_by(F.struct("next_node", "distance"), F.struct("distance", "next_node")).alias("b")).select("node", "effect", "b.next_node", "b.distance")
-    best = cut(best)
-    open_ = wanted.select("node", "effect").distinct().join(best, ["node", "effect"]).select("node", "effect", F.array("node").alias("path"), F.col("next_node").alias("at"))
+    # a state at some distance came from one of its next node a link nearer
+    best = cut(states.groupBy("node", "effect", "distance").agg(F.min("next_node").alias("next_node")))
+    nearest = best.groupBy("node", "effect").agg(F.min_by(F.struct("next_node", "distance"), "distance").alias("b")).select("node", "effect", "b.next_node", "b.distance")
+    open_ = wanted.select("node", "effect").distinct().join(nearest, ["node", "effect"]).select("node", "effect", F.array("node").alias("path"), F.col("next_node").alias("at"), (F.col("distance") - 1).alias("distance"))
     done = open_.filter("at is null")
     for _ in range(max_depth):
         open_ = cut(open_.filter("at is not null"))
         if open_.isEmpty():
             break
-        nxt = best.select(F.col("node").alias("at"), "effect", F.col("next_node").alias("_to"))
-        open_ = open_.join(nxt, ["at", "effect"]).select("node", "effect", F.concat("path", F.array("at")).alias("path"), F.col("_to").alias("at"))
+        nxt = best.select(F.col("node").alias("at"), "effect", "distance", F.col("next_node").alias("_to"))
+        open_ = open_.join(nxt, ["at", "effect", "distance"]).select("node", "effect", F.concat("path", F.array("at")).alias("path"), F.col("_to").alias("at"), (F.col("distance") - 1).alias("distance"))
         done = done.unionByName(open_.filter("at is null"))
     return done.select("node", "effect", "path")
 
