@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweft.operators.runtime import bounded, cut
+from docweft.operators.runtime import bounded, cut, place
 
-#: Groups of at most this many rows are solved whole inside one task; larger ones by rounds over the cluster.
+#: Groups of at most this many rows are solved whole inside one task; larger ones by doubling over the cluster.
 GROUP_ROWS = 200_000
 _BATCH_ROWS = 100_000
 
@@ -30,7 +31,7 @@ COLUMNS = {
 
 
 def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray, order: np.ndarray, with_path: bool = True) -> dict[str, object]:
-    """All hierarchies of some whole groups. (group, node) is unique; order ranks siblings.
+    """All hierarchies of some whole groups. (group, node) is unique; order ranks siblings, then their place does.
 
     Upward: leaves hand their subtree size to their parents until none is left; what is never handed up lies on a loop.
     Downward: each node takes its preorder range from its parent's start and the prefix sum of its siblings' sizes;
@@ -80,7 +81,7 @@ def solve(group: np.ndarray, node: np.ndarray, parent: np.ndarray, order: np.nda
     # prefix sums over siblings; the nodes without a parent are the siblings under their group
     family = np.where(up >= 0, up, n + groups)
     family[on_loop] = -1 - np.arange(n)[on_loop]
-    by = np.lexsort((names[:n], order, family))
+    by = np.lexsort((order, family))
     before = np.cumsum(size[by]) - size[by]
     first = np.r_[True, family[by][1:] != family[by][:-1]] if n else np.zeros(0, bool)
     offset = np.zeros(n, np.int64)
@@ -128,7 +129,8 @@ def _solver(group: str, node: str, parent: str, order: list[str], keep: list[str
         def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
             ids = t.select([group, node]).to_pandas()
             t = t.take(np.flatnonzero(~ids.duplicated().to_numpy()))  # sorted: the first of each is its row
-            rank = t.select(order).to_pandas().groupby(order, sort=True, dropna=False).ngroup().to_numpy() if order else np.arange(t.num_rows)
+            rank = np.empty(t.num_rows, np.int64)
+            rank[np.asarray(pc.sort_indices(t, [(c, "ascending") for c in order], null_placement="at_end")) if order else slice(None)] = np.arange(t.num_rows)
             got = solve(np.asarray(t[group]), t[node].to_pandas().to_numpy(object), t[parent].to_pandas().to_numpy(object), rank, with_path)
             whole = got.pop("whole")
             at = np.flatnonzero(~whole) if only_loops else np.arange(t.num_rows)
@@ -167,86 +169,75 @@ def _solver(group: str, node: str, parent: str, order: list[str], keep: list[str
     return run
 
 
-def _rounds(nodes: DataFrame, group: str, node: str, order: list[str], with_path: bool) -> DataFrame:
-    """The same result for groups too large for one task, by rounds of joins on (group, node); each round is cut.
+def _doubled(nodes: DataFrame, group: str, node: str, order: list[str], with_path: bool, only_loops: bool) -> DataFrame:
+    """The same result for groups too large for one task, by pointer doubling: as many rounds as the binary logarithm of
+    the greatest level, each of one or two joins on (group, node) over the whole cluster, and one table at a time.
 
-    nodes: one row per (group, node) with ``_parent`` null unless that node exists. There are as many rounds as levels.
+    nodes: one row per (group, node) with ``_parent`` null unless that node exists. After round k each node knows its
+    ancestor 2**k levels up. Upward, it hands its subtree size there. The levels that occur have no gap, so a round in
+    which no node newly meets its root is the last: what is open then never ends.
     """
     key = [group, node]
     base = cut(nodes)
-    kids = base.filter("_parent is not null").groupBy(group, F.col("_parent").alias(node)).agg(F.count("*").alias("_kids"))
-    state = cut(base.join(kids, key, "left").select(*base.columns, F.coalesce("_kids", F.lit(0)).alias("_waits"), F.lit(1).cast("bigint").alias("_size"), F.lit(False).alias("_done")))
-    while True:  # upward: leaves hand their sizes to their parents
-        front = state.filter("_waits = 0 and not _done")
-        if front.isEmpty():
+    is_root = F.col("_parent").isNull()
+    state = base.select(*key, F.col("_parent").alias("_up"), F.when(is_root, 0).otherwise(1).alias("_level"), F.when(is_root, F.col(node)).alias("_root"), F.lit(1).cast("bigint").alias("_size"))
+    state = cut(state)
+    left = None
+    while True:
+        n_open = state.filter("_up is not null").count()
+        if n_open == left or n_open == 0:
             break
-        given = front.filter("_parent is not null").groupBy(group, F.col("_parent").alias(node)).agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
+        left = n_open
+        ahead = state.select(group, F.col(node).alias("_up"), F.col("_up").alias("_up2"), F.col("_level").alias("_level2"), F.col("_root").alias("_root2"))
+        given = state.filter("_up is not null").groupBy(group, F.col("_up").alias(node)).agg(F.sum("_size").alias("_given"))
         state = cut(
-            state.join(given, key, "left").select(
-                *base.columns,
-                (F.col("_waits") - F.coalesce("_n", F.lit(0))).alias("_waits"),
-                (F.col("_size") + F.coalesce("_s", F.lit(0))).alias("_size"),
-                (F.col("_done") | (F.col("_waits") == 0)).alias("_done"),
-            )
+            state.join(ahead, [group, "_up"], "left")
+            .join(given, key, "left")
+            .select(*key, F.col("_up2").alias("_up"), (F.col("_level") + F.coalesce("_level2", F.lit(0))).alias("_level"), F.coalesce("_root", "_root2").alias("_root"), (F.col("_size") + F.coalesce("_given", F.lit(0))).alias("_size")),
+            bare=True,
         )
-    on = state.filter("not _done")
-    low = cut(on.select(group, node, F.col("_parent").alias("_to"), F.col(node).alias("_low")))
-    while True:  # the least name on each loop, by doubling
-        ahead = low.select(group, F.col(node).alias("_to"), F.col("_to").alias("_to2"), F.col("_low").alias("_low2"))
-        new = cut(low.join(ahead, [group, "_to"]).select(group, node, F.col("_to2").alias("_to"), F.least("_low", "_low2").alias("_low"), (F.col("_low2") < F.col("_low")).alias("_changed")))
-        if new.filter("_changed").isEmpty():
-            break
-        low = new.drop("_changed")
-    # prefix sums over siblings; a hot family is summed in salted stretches of its order
-    trees = state.filter("_done")
-    salted = trees.withColumn("_order", F.struct(*order, node))
-    offsets = _prefix(salted, [group, "_parent"], "_order", "_size")
-    offsets = cut(offsets)
-    found = offsets.filter("_parent is null").select("*", F.col("_before").alias("range_start"), F.lit(0).alias("level"), F.col(node).alias("root"), F.lit(None).cast("string").alias("loop"), *([F.array(node).alias("path")] if with_path else []))
-    on_top = on.join(low.select(*key, "_low"), key).select(*base.columns, F.lit(None).cast("bigint").alias("_size"), F.lit(None).cast("bigint").alias("range_start"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("root"), F.col("_low").alias("loop"), F.lit(True).alias("on_loop"), *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
-    cols = [*base.columns, "_size", "range_start", "level", "root", "loop", "on_loop", *(["path"] if with_path else [])]
-    front = cut(found.withColumn("on_loop", F.lit(False)).select(*cols).unionByName(on_top.select(*cols)))
-    layers = [front]
-    while True:  # downward
-        above = front.select(group, F.col(node).alias("_parent"), F.col("range_start").alias("_s"), F.col("level").alias("_l"), F.col("root").alias("_r"), F.col("loop").alias("_o"), *([F.col("path").alias("_p")] if with_path else []))
-        front = cut(
-            offsets.join(above, [group, "_parent"]).select(
-                *base.columns,
-                F.when(F.col("_s").isNotNull(), F.col("_size")).alias("_size"),
-                (F.col("_s") + 1 + F.col("_before")).alias("range_start"),
-                (F.col("_l") + 1).alias("level"),
-                F.col("_r").alias("root"),
-                F.col("_o").alias("loop"),
-                F.lit(False).alias("on_loop"),
-                *([F.concat("_p", F.array(node)).alias("path")] if with_path else []),
-            )
-        )
-        if front.isEmpty():
-            break
-        layers.append(front)
-    out = layers[0]
-    for x in layers[1:]:
-        out = out.unionByName(x)
-    return out.withColumn("subtree_size", F.col("_size")).withColumn("range_end", F.col("range_start") + F.col("_size") - 1)
-
-
-def _prefix(df: DataFrame, keys: list[str], order: str, size: str, stretch: int = 64) -> DataFrame:
+    none = {c: F.lit(None).cast(k) for c, k in COLUMNS.items()}
+    cols = [*base.columns, *(c for c in COLUMNS if c != "path" or with_path)]
+    out = None
+    if n_open:  # nodes on loops or leading into one
+        rest = base.join(state.filter("_up is not null").select(*key), key, "left_semi")
+        low = cut(rest.select(group, node, F.col("_parent").alias("_up"), F.col(node).alias("_low")))
+        longest = low.groupBy(group).count().agg(F.max("count")).first()[0]
+        for _ in range(int(longest).bit_length()):  # then each has gone at least once around its loop
+            ahead = low.select(group, F.col(node).alias("_up"), F.col("_up").alias("_up2"), F.col("_low").alias("_low2"))
+            low = cut(low.join(ahead, [group, "_up"]).select(*key, F.col("_up2").alias("_up"), F.least("_low", "_low2").alias("_low")), bare=True)
+        on = low.select(group, F.col("_up").alias(node)).distinct().withColumn("_on", F.lit(True))
+        names = low.join(on, key).select(group, F.col(node).alias("_up"), F.col("_low").alias("_loop"))
+        looping = low.join(names, [group, "_up"]).join(on, key, "left").select(*key, "_loop", F.coalesce("_on", F.lit(False)).alias("_on"))
+        out = rest.join(looping, key).withColumns({**none, "loop": F.col("_loop"), "on_loop": F.col("_on")}).select(*cols)
+    if only_loops:
+        return out if out is not None else base.withColumns(none).select(*cols).limit(0)
+    trees = base.join(state.filter("_up is null").drop("_up"), key)
+    sibling = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in order], F.col(node))
+    offsets = _prefix(trees.withColumn("_order", sibling), [group, "_parent"], "_order", "_size")
+    path = [F.array(node).alias("path")] if with_path else []
+    done = cut(offsets.select(*base.columns, "_level", "_root", "_size", F.col("_parent").alias("_up"), (F.col("_before") + F.when(is_root, 0).otherwise(1)).alias("_start"), *path))
+    while not done.filter("_up is not null").isEmpty():  # downward: a start is the sum of the offsets on the way to the root
+        ahead = done.select(group, F.col(node).alias("_up"), F.col("_up").alias("_up2"), F.col("_start").alias("_start2"), *([F.col("path").alias("_path2")] if with_path else []))
+        path = [F.when(F.col("_path2").isNull(), F.col("path")).otherwise(F.concat("_path2", "path")).alias("path")] if with_path else []
+        done = cut(done.join(ahead, [group, "_up"], "left").select(*base.columns, "_level", "_root", "_size", F.col("_up2").alias("_up"), (F.col("_start") + F.coalesce("_start2", F.lit(0))).alias("_start"), *path), bare=True)
+    whole = done.withColumns({"level": F.col("_level"), "root": F.col("_root"), "subtree_size": F.col("_size"), "range_start": F.col("_start"), "range_end": F.col("_start") + F.col("_size") - 1, "loop": none["loop"], "on_loop": F.lit(False)}).select(*cols)
+    return whole if out is None else whole.unionByName(out)
+
+
+def _prefix(df: DataFrame, keys: list[str], order: str, size: str) -> DataFrame:
     """The sum of ``size`` over the rows before each row, by keys, as ``_before``; no key is summed in one task.
 
-    Rows are range-partitioned by (keys, order); stretches are their partitions, whose totals (a few rows per key and
-    partition) give each stretch its start.
+    Rows are range-partitioned by (keys, order); the totals of each key in each partition (a few rows per key) give each
+    partition its start. Keys may be null.
     """
     ranged = cut(df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy(*keys, "_part").agg(F.sum(size).alias("_total"))
-    starts = totals.withColumn("_start", F.sum("_total").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_total"))
+    starts = totals.withColumn("_at", F.sum("_total").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_total"))
     inside = Window.partitionBy(*keys, "_part").orderBy(order)
-    summed = ranged.withColumn("_in", F.sum(size).over(inside) - F.col(size))
-    names = [F.col(f"a.{c}") for c in df.columns]
+    summed = ranged.withColumn("_in", F.sum(size).over(inside) - F.col(size)).alias("a")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_part"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return summed.alias("a").join(starts.alias("b"), cond).select(*names, (F.col("a._in") + F.col("b._start")).alias("_before")).drop(order)
+    return summed.join(starts.alias("b"), same).select(*[F.col(f"a.{c}") for c in df.columns if c != order], (F.col("a._in") + F.col("b._at")).alias("_before"))
 
 
 def hierarchies(
@@ -271,8 +262,9 @@ def hierarchies(
     last). A null parent, or one that is no node of the group, makes a root. With
     ``only_loops`` only nodes whose parents never end are returned.
 
-    Groups up to ``group_rows`` rows travel whole to one task, many in a batch, and are solved in vectors; larger ones
-    by rounds of joins over the whole cluster.
+    Siblings are ranked by ``order`` (nulls last), then by node. Groups up to ``group_rows`` rows travel whole to one
+    task, many in a batch, and are solved in vectors; larger ones by pointer doubling over the whole cluster, in rounds
+    of the logarithm of their greatest level. Both give the same rows.
     """
     keep = tuple(c for c in keep if c not in (group, node, parent))
     if clash := sorted({group, node, parent, *keep} & set(COLUMNS)):
@@ -300,9 +292,7 @@ def hierarchies(
     one = src.join(big, group, "left_semi").groupBy(group, node).agg(F.min_by(F.struct(*[c for c in cols if c not in (group, node)]), pick).alias("_r")).select(group, node, *[F.col(f"_r.{c}").alias(c) for c in cols if c not in (group, node)])
     has = one.select(group, F.col(node).alias(parent), F.col(node).alias("_parent"))
     linked = one.join(has, [group, parent], "left").select(*cols, "_parent")
-    far = _rounds(linked, group, node, list(order), with_path)
-    if only_loops:
-        far = far.filter("loop is not null")
+    far = _doubled(linked, group, node, list(order), with_path, only_loops)
     return out.unionByName(far.select(*[F.col(c).cast(result[c]).alias(c) for c in result]))
 
 
@@ -315,15 +305,59 @@ def _arrow(kind: str) -> pa.DataType:
     return _ARROW[kind]
 
 
+def _sweep(group: str, node: str, schema: pa.Schema):
+    """Links of rows sorted by (group, range_start): at each row, the ancestors are the ranges still open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, open_ = None, pa.table([])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            parts = np.asarray(t["_part"])
+            for lo, hi in zip(*(lambda e: (e[:-1], e[1:]))(np.r_[0, np.flatnonzero(np.diff(parts)) + 1, len(parts)])):
+                piece = t.slice(lo, hi - lo)
+                carried = 0
+                if part == parts[lo]:
+                    carried, piece = open_.num_rows, pa.concat_tables([open_, piece])
+                part = parts[lo]
+                g = pd.factorize(np.asarray(piece[group].combine_chunks().to_pandas(), object))[0]
+                level, start, end, fresh = (np.asarray(piece[c]) for c in ("level", "range_start", "range_end", "_fresh"))
+                fresh = fresh & (np.arange(len(fresh)) >= carried)
+                at = np.arange(len(level))
+                for k in range(int(level.max())):
+                    last = np.maximum.accumulate(np.where(level == k, at, -1))  # of the rows before, the nearest of level k
+                    low = np.flatnonzero(fresh & (level > k) & (last >= 0))
+                    up = last[low]
+                    holds = (g[up] == g[low]) & (end[up] >= start[low])
+                    low, up = low[holds], up[holds]
+                    if len(low):
+                        out = [piece[group].take(low), piece[node].take(up), piece[node].take(low), pa.chunked_array([pa.array((level[low] - k).astype(np.int32))])]
+                        yield from pa.table(out, schema=schema).combine_chunks().to_batches(max_chunksize=50_000)
+                still = np.flatnonzero((g == g[-1]) & (end >= start[-1]))
+                open_ = piece.take(still).combine_chunks()
+
+    return run
+
+
 def descendants(tree: DataFrame, group: str = "snapshot_id", node: str = "anchor") -> DataFrame:
-    """Every (ancestor, descendant, distance) of solved hierarchies, one row per link and no more.
+    """Every link (group, ancestor, descendant, distance) of solved hierarchies, one row per link and no more.
 
-    Ancestors of a row are the nodes whose nested-set range holds its start; they stand in its path, so each row yields
-    its own ancestors without any join within the group.
+    Rows are range-partitioned by (group, range_start), so that no group gathers, and each range is swept once: the
+    ancestors of a row are the nested-set ranges open at its start. To each range come the few rows whose own range
+    reaches over its edge. Nodes without a whole path have no links. Needs level, range_start and range_end.
     """
-    return tree.filter("loop is null and level > 0").select(
-        group, F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_i", "ancestor"), F.col(node).alias("descendant"), "level"
-    ).select(group, "ancestor", "descendant", (F.col("level") - F.col("_i")).alias("distance"))
+    whole = tree.filter("range_start is not null").select(group, node, "level", "range_start", "range_end")
+    ranged = cut(whole.repartitionByRange(group, "range_start").withColumn("_part", F.spark_partition_id()))
+    # one row per partition: where it starts
+    edges = ranged.groupBy("_part").agg(F.min(F.struct(group, "range_start")).alias("_e")).select(F.col("_part").alias("_to"), F.col(f"_e.{group}").alias(group), F.col("_e.range_start").alias("_edge"))
+    over = ranged.join(F.broadcast(edges), group).filter("range_start < _edge and range_end >= _edge").select(group, node, "level", "range_start", "range_end", F.col("_to").alias("_part"), F.lit(False).alias("_fresh"))
+    both = ranged.withColumn("_fresh", F.lit(True)).unionByName(over)
+    n = ranged.rdd.getNumPartitions()
+    kind = dict(tree.dtypes)[group]
+    schema = pa.schema([(group, _arrow(kind)), ("ancestor", pa.string()), ("descendant", pa.string()), ("distance", pa.int32())])
+    swept = place(both, max(n, 1), "_part").sortWithinPartitions("_part", group, "range_start")
+    return swept.mapInArrow(_sweep(group, node, schema), f"`{group}` {kind}, ancestor string, descendant string, distance int")
 
 
 def in_subtree(tree: DataFrame, chosen: DataFrame, group: str = "snapshot_id", node: str = "anchor") -> DataFrame:

@@ -7,31 +7,61 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A dimension of at most this many rows is broadcast; beyond it the join shuffles and AQE splits skewed keys.
+#: A dimension of at most this many rows and bytes is broadcast; beyond either the join shuffles and AQE splits skewed keys.
 BROADCAST_ROWS = 400_000
-#: The same bound in bytes of the optimizer's estimate times this row width.
-ROW_BYTES = 80
+BROADCAST_BYTES = 64 << 20
+#: Checkpoints whose tables are no longer used are deleted.
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
+class NoCheckpointFolder(RuntimeError):
+    """A cluster without a shared folder for lineage cuts."""
+
+
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; one of this machine's own only where all of Spark runs in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.mkdtemp(prefix="docweft-")
+    raise NoCheckpointFolder("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def cut(df: DataFrame, bare: bool = False) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+
+    Without one, a cluster is refused (NoCheckpointFolder). Files go when the last table that reads them does. A
+    checkpoint keeps what the optimizer inferred about its rows; where a loop joins a table with itself, that doubles
+    each round, so such loops ask for a ``bare`` one without it.
+    """
+    sc = df.sparkSession.sparkContext
+    jvm = sc._jsc.sc()
+    if not jvm.getCheckpointDir().isDefined():
+        sc.setCheckpointDir(_folder(df.sparkSession))
+    if not jvm.conf().contains(_CLEAN):
+        jvm.conf().set(_CLEAN, "true")
+    kept = df.checkpoint(eager=True)
+    if not bare:
+        return kept
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweft-"))
-    return df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
-def bounded(dim: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The dimension and whether it is small enough to broadcast, by a count that stops at the bound."""
-    return dim, dim.limit(rows + 1).count() <= rows
+def bounded(dim: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The dimension and whether it is small enough to broadcast: at most ``rows`` rows, by a count that stops at the
+    bound, which hold at most ``most_bytes`` characters and numbers as JSON."""
+    width = F.length(F.to_json(F.struct("*"))) if dim.columns else F.lit(0)
+    n, size = dim.select(width.alias("w")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return dim, n <= rows and size <= most_bytes
 
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a fact table with a dimension.
 
-    Up to ``rows`` rows (checked by counting) the dimension is broadcast. A larger one is joined by a shuffle on the
-    key, where AQE's skew join splits hot keys.
+    Up to ``rows`` rows and BROADCAST_BYTES (both checked by one pass) the dimension is broadcast. A larger one is joined
+    by a shuffle on the key, where AQE's skew join splits hot keys.
     """
     dim, small = bounded(dim, rows)
     return fact.join(F.broadcast(dim) if small else dim, on, how)

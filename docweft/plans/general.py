@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweft.operators.hierarchy import hierarchies
+from docweft.operators.hierarchy import descendants, hierarchies
 from docweft.operators.references import hot_targets, orphan_references, orphan_report, target_profile
 from docweft.operators.snapshots import attribute_history, snapshot_changes
 from docweft.sources.tables import Tables
@@ -23,7 +23,11 @@ def p4_found(spark: SparkSession, path: str) -> DataFrame:
 
 def p4_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     tree = hierarchies(Tables(spark, path).sections, keep=("depth",))
-    return tree.select("snapshot_id", "anchor", F.array_join("path", " / ").alias("full_path"), "level", F.col("depth").alias("stored_depth"), "root", (F.col("subtree_size") - 1).alias("n_descendants"))
+    return tree.select("snapshot_id", "anchor", F.array_join("path", " / ").alias("full_path"), "level", F.col("depth").alias("stored_depth"), "root", (F.col("subtree_size") - 1).alias("n_descendants"), "range_start", "range_end")
+
+
+def p4_descendants(spark: SparkSession, path: str) -> DataFrame:
+    return descendants(hierarchies(Tables(spark, path).sections, with_path=False))
 
 
 def p5_found(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +60,7 @@ def p7_report(spark: SparkSession, path: str) -> DataFrame:
     return orphan_report(orphan_references(t.refs, t.sections, t.snapshots, t.specs, t.shared_anchors), t.snapshots, t.specs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_hierarchy, p5_found, p5_targets, p6_found, p6_history, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_hierarchy, p4_descendants, p5_found, p5_targets, p6_found, p6_history, p7_found, p7_report)}
 
 _FULL = r"""
 WITH firsts AS (
@@ -128,10 +132,18 @@ SELECT snapshot_id, anchor, list_min(path[1:list_position(path, last_up)]) AS lo
     + r""",
 ends AS (SELECT snapshot_id, anchor, max_by(cur, level) AS root, max_by(coalesce(up, ''), level) AS last_up, max(level) AS level, max_by(path, level) AS path FROM walk GROUP BY ALL),
 fine AS (SELECT e.*, EXISTS (SELECT 1 FROM picked q WHERE q.snapshot_id = e.snapshot_id AND q.anchor = e.last_up) AS bad FROM ends e),
-below AS (SELECT snapshot_id, a AS anchor, count(*) - 1 AS n FROM (SELECT snapshot_id, unnest(path) AS a FROM fine WHERE NOT bad) GROUP BY ALL)
+below AS (SELECT snapshot_id, a AS anchor, count(*) - 1 AS n FROM (SELECT snapshot_id, unnest(path) AS a FROM fine WHERE NOT bad) GROUP BY ALL),
+steps AS (SELECT f.snapshot_id, f.anchor, f.level, unnest(path) AS a, generate_subscripts(path, 1) AS i FROM fine f WHERE NOT bad),
+ways AS (SELECT s.snapshot_id, s.anchor, list((q.ord, q.id) ORDER BY i) AS way FROM steps s JOIN picked q ON q.snapshot_id = s.snapshot_id AND q.anchor = s.a GROUP BY ALL),
+preorder AS (SELECT snapshot_id, anchor, row_number() OVER (PARTITION BY snapshot_id ORDER BY way) - 1 AS range_start FROM ways)
 SELECT f.snapshot_id, f.anchor, CASE WHEN NOT bad THEN array_to_string(path, ' / ') END AS full_path, CASE WHEN NOT bad THEN level END AS level, p.depth AS stored_depth,
-       CASE WHEN NOT bad THEN root END AS root, CASE WHEN NOT bad THEN b.n END AS n_descendants
-FROM fine f JOIN picked p USING (snapshot_id, anchor) LEFT JOIN below b USING (snapshot_id, anchor)""",
+       CASE WHEN NOT bad THEN root END AS root, CASE WHEN NOT bad THEN b.n END AS n_descendants, o.range_start, o.range_start + b.n AS range_end
+FROM fine f JOIN picked p USING (snapshot_id, anchor) LEFT JOIN below b USING (snapshot_id, anchor) LEFT JOIN preorder o USING (snapshot_id, anchor)""",
+    "p4_descendants": _TREE
+    + r""",
+ends AS (SELECT snapshot_id, anchor, max_by(coalesce(up, ''), level) AS last_up FROM walk GROUP BY ALL)
+SELECT w.snapshot_id, w.cur AS ancestor, w.anchor AS descendant, w.level AS distance FROM walk w JOIN ends e USING (snapshot_id, anchor)
+WHERE w.level > 0 AND NOT EXISTS (SELECT 1 FROM picked q WHERE q.snapshot_id = e.snapshot_id AND q.anchor = e.last_up)""",
     "p5_found": f"""
 SELECT to_spec, to_anchor FROM (SELECT {_TARGET} FROM refs) GROUP BY ALL
 HAVING count(*) * 1000 > (SELECT count(*) FROM refs) * (SELECT amount FROM run_limits WHERE name = 'hot_key_permille')""",

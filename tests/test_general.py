@@ -8,6 +8,7 @@ from collections import defaultdict
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweft.operators.hierarchy import descendants, hierarchies, in_subtree
 from docweft.operators.references import hot_targets, orphan_references, orphan_report, target_profile
@@ -133,8 +134,6 @@ def test_empty_tables(spark):
 
 
 def test_extra_columns_with_names_used_inside(spark):
-    from pyspark.sql import functions as F
-
     snaps, secs = dirty(1)
     names = ["spec_id", "seq", "instant", "digest", "block", "side", "s", "_k", "spec", "t", "part", "h1", "level", "loop", "_sha", "next_id", "prev_id", "kind"]
     sn, se = spark.createDataFrame(snaps, SNAPSHOT), spark.createDataFrame(secs, SECTION)
@@ -235,6 +234,27 @@ def test_deep_chain_and_long_loop(spark):
     assert got.filter("snapshot_id = 2 and loop = 'é00000' and on_loop").count() == n
 
 
+def test_siblings_without_order_come_last_in_groups_of_any_size(spark):
+    rows = [(1, 1, "r", None, 0), (2, 1, "b", "r", 5), (3, 1, "a", "r", None), (2**60 + 1, 1, "c", "r", 7), (2**60, 1, "d", "r", 7), (None, 1, "e", "r", None)]
+    se = spark.createDataFrame(rows, "id bigint, snapshot_id bigint, anchor string, parent_anchor string, ord int")
+    for n in (200_000, 1):
+        got = {x.anchor: (x.range_start, x.range_end, x.level) for x in hierarchies(se, group_rows=n).collect()}
+        assert got == {"r": (0, 5, 0), "b": (1, 1, 1), "d": (2, 2, 1), "c": (3, 3, 1), "a": (4, 4, 1), "e": (5, 5, 1)}, n
+
+
+def test_large_chain_by_doubling(spark):
+    n = 4000
+    name = lambda c: F.format_string("c%06d", c)
+    chain = spark.range(n).select("id", F.lit(1).alias("snapshot_id"), name(F.col("id")).alias("anchor"), F.when(F.col("id") > 0, name(F.col("id") - 1)).alias("parent_anchor"), F.lit(0).alias("ord"))
+    loop = spark.range(n).select("id", F.lit(2).alias("snapshot_id"), name(F.col("id")).alias("anchor"), F.when(F.col("id") >= 900, name((F.col("id") + 1))).otherwise(name(F.col("id") + 1)).alias("parent_anchor"), F.lit(0).alias("ord"))
+    loop = loop.withColumn("parent_anchor", F.when(F.col("id") == n - 1, name(F.lit(3000))).otherwise(F.col("parent_anchor")))
+    got = hierarchies(chain.unionByName(loop), with_path=False, group_rows=1000)
+    one = got.filter("snapshot_id = 1").agg(F.max("level"), F.sum("subtree_size"), F.count_if((F.col("range_start") == F.col("level")) & (F.col("range_end") == n - 1))).first()
+    assert tuple(one) == (n - 1, n * (n + 1) // 2, n)
+    two = got.filter("snapshot_id = 2").groupBy("on_loop", "loop").count().collect()
+    assert {(x.on_loop, x.loop, x["count"]) for x in two} == {(True, "c003000", 1000), (False, "c003000", 3000)}
+
+
 # ---- references ----------------------------------------------------------------------------------------------------
 
 
