@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,31 +32,52 @@ _KINDS = ["end", "paragraph", "step", "line", "sentence", "word", "anywhere"]
 def boundaries(text: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where text may be cut, ascending, and the rank of each in _KINDS. The last is the text's end.
 
-    Words and bare positions only fill stretches of more than an eighth of the limit without anything better.
+    Every word's end is one; bare positions only fill stretches of more than an eighth of the limit without any.
     """
     n = len(text)
     found: dict[int, int] = {n: 0}
-    for rank, pattern in ((1, _PARAGRAPH), (2, _STEP), (3, _LINE), (4, _SENTENCE)):
+    for rank, pattern in ((1, _PARAGRAPH), (2, _STEP), (3, _LINE), (4, _SENTENCE), (5, _WORD)):
         for m in pattern.finditer(text):
             found.setdefault(m.end(), rank)
     found.pop(0, None)
     gap = max(1, limit // 8)
-
-    def fill(at: list[int], rank: int, step) -> None:
-        last = 0
-        for p in at:
-            if p - last > gap:
-                for q in step(last, p):
-                    found.setdefault(q, rank)
-            last = p
-
-    fill(sorted(found), 5, lambda a, b: (m.end() for m in _WORD.finditer(text, a + 1, b)))
-    found.pop(0, None)
-    fill(sorted(found), 6, lambda a, b: range(a + gap, b, gap))
+    last = 0
+    for p in sorted(found):
+        if p - last > gap:
+            for q in range(last + gap, p, gap):
+                found[q] = 6
+        last = p
     at = np.array(sorted(found), np.int64)
     return at, np.array([found[p] for p in at], np.int64)
 
 
+def _least_fines(at: np.ndarray, penalty: np.ndarray, limit: int, reach: int) -> np.ndarray:
+    """For each boundary, a bound from below of the cost of all solutions that cut there: penalties and piece costs only,
+    with pieces that may end up to ``reach`` after the cut before them. Sliding minima, forward and backward."""
+    ends, fine = at.tolist(), (penalty + PER_PIECE).tolist()
+    m = len(ends)
+    to = [0.0] * m
+    window: deque[int] = deque()
+    for i in range(m):
+        while window and ends[window[0]] < ends[i] - reach:
+            window.popleft()
+        to[i] = fine[i] + (0.0 if ends[i] <= limit else to[window[0]] if window else np.inf)
+        while window and to[window[-1]] >= to[i]:
+            window.pop()
+        window.append(i)
+    rest = [0.0] * m
+    window.clear()
+    for i in range(m - 1, -1, -1):
+        while window and ends[window[0]] > ends[i] + reach:
+            window.popleft()
+        if i < m - 1:
+            rest[i] = rest[window[0]] + fine[window[0]] if window else np.inf
+        while window and rest[window[-1]] + fine[window[-1]] >= rest[i] + fine[i]:
+            window.pop()
+        window.append(i)
+    return np.array(to) + np.array(rest)
+
+
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, what ends there) of the pieces of a text, each at most ``limit`` code points long.
 
@@ -74,44 +96,57 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     fences = np.array([f.start() for f in _FENCE.finditer(text)], np.int64)
     if len(fences):
         penalty = penalty + np.where((np.searchsorted(fences, at, "left") % 2 == 1) & (rank > 0), IN_FENCE, 0.0)
-    # where a piece starts that follows a cut at at[i]
-    start = np.maximum(at - overlap, 0)
-    if overlap:
-        lo, hi = np.searchsorted(at, at - overlap - overlap // 4), np.searchsorted(at, at - overlap + overlap // 4, "right")
-        for i in range(m):
-            if hi[i] > lo[i]:
-                near = slice(lo[i], hi[i])
-                start[i] = at[near][np.argmin(penalty[near] + np.abs(at[near] - (at[i] - overlap)) / overlap)]
-            else:
-                a, b = max(0, at[i] - overlap - overlap // 4), max(0, at[i] - overlap + overlap // 4)
-                w = _WORD.search(text, a, b)
-                if w:
-                    start[i] = w.end()
     count = -(-(n - overlap) // (limit - overlap))
     even = (n + (count - 1) * overlap) / count
-    best = np.full(m, np.inf)
-    back = np.full(m, -1, np.int64)
-    first = np.searchsorted(start, at - limit)  # earlier cuts leave more than the limit
-    for i in range(m):
-        e = at[i]
-        if e <= limit:
-            best[i] = penalty[i] + PER_PIECE + IMBALANCE * ((e - even) / even) ** 2
-        lo = first[i]
-        if lo < i:
-            cost = best[lo:i] + IMBALANCE * ((e - start[lo:i] - even) / even) ** 2
-            j = int(np.argmin(cost))
-            if cost[j] + penalty[i] + PER_PIECE < best[i]:
-                best[i], back[i] = cost[j] + penalty[i] + PER_PIECE, lo + j
-    cuts = []
-    i = m - 1
-    while i >= 0:
-        cuts.append(i)
-        i = int(back[i])
-    cuts.reverse()
+
+    def starts(of: np.ndarray) -> np.ndarray:
+        """Where a piece starts that follows a cut at each of these boundaries."""
+        out = np.maximum(at[of] - overlap, 0)
+        if overlap:
+            lo, hi = np.searchsorted(at, at[of] - overlap - overlap // 4), np.searchsorted(at, at[of] - overlap + overlap // 4, "right")
+            for k in range(len(of)):
+                if hi[k] > lo[k]:
+                    near = slice(lo[k], hi[k])
+                    out[k] = at[near][np.argmin(penalty[near] + np.abs(at[near] - (at[of[k]] - overlap)) / overlap)]
+        return out
+
+    def solve(of: np.ndarray) -> tuple[float, list[int]]:
+        """The least cost with cuts at some boundaries only, the end among them, and the cuts."""
+        ends, start, fine = at[of], starts(of), penalty[of] + PER_PIECE
+        best = np.full(len(of), np.inf)
+        back = np.full(len(of), -1, np.int64)
+        first = np.searchsorted(start, ends - limit)  # earlier cuts leave more than the limit
+        for i in range(len(of)):
+            e, lo = ends[i], first[i]
+            if e <= limit:
+                best[i] = fine[i] + IMBALANCE * ((e - even) / even) ** 2
+            if lo < i:
+                cost = best[lo:i] + IMBALANCE * ((e - start[lo:i] - even) / even) ** 2
+                j = int(np.argmin(cost))
+                if cost[j] + fine[i] < best[i]:
+                    best[i], back[i] = cost[j] + fine[i], lo + j
+        chosen, i = [], len(of) - 1
+        while i >= 0:
+            chosen.append(int(of[i]))
+            i = int(back[i])
+        return float(best[-1]), chosen[::-1]
+
+    # A solution with few boundaries bounds the cost. Cuts that no solution within the bound can use, as pieces cost at
+    # least their fines, need not be tried: the result is the best over all boundaries.
+    few = np.flatnonzero((rank < 5) | (rank == 6))
+    least, cuts = solve(few)
+    if np.isinf(least):
+        least, cuts = solve(np.arange(m))
+    else:
+        through = _least_fines(at, penalty, limit, limit - overlap + overlap // 4)
+        more = np.flatnonzero(through <= least + 1e-9)
+        if len(np.setdiff1d(more, few)):
+            _, cuts = solve(np.union1d(more, [m - 1]))
+    start = dict(zip(cuts, starts(np.array(cuts)).tolist()))
     out, s = [], 0
     for i in cuts:
         out.append((s, int(at[i]), _KINDS[rank[i]]))
-        s = int(start[i])
+        s = start[i]
     return out
 
 
