@@ -113,19 +113,22 @@ def shorten(text: str, n: int = 120) -> str:
 
 # ---- control flow --------------------------------------------------------------------------------------------------
 
-#: Step shapes in the order in which they are tried. Fixed values, shared with the SQL form of the rule.
+#: Step shapes in the order in which they are tried, one pattern each, in any case. Fixed values.
 SHAPES = [
-    ("jump", r"(?i)^(?:jump|return)\s+to\s+step\s+(\d+(?:\.\d+)*)"),
-    ("abort", r"(?i)^abort\s+(?:these\s+steps|this\s+algorithm)\b"),
-    ("return", r"(?i)^return\b"),
-    ("otherwise", r"(?i)^otherwise\b"),
-    ("loop", r"(?i)^(?:for\s+each|while)\b"),
-    ("parallel", r"(?i)^in\s+parallel[,\s]|\bin\s+parallel\b"),
-    ("if_block", r"(?i)^if\b"),
-    ("if_inline", r"(?i)^if\b.*,\s*then\b"),
-    ("unrecognised", r"(?i)^(?:continue|break|switch\s+on)\b"),
+    ("jump", r"^jump\s+to\s+step\s+(\d+(?:\.\d+)*)"),
+    ("jump", r"^return\s+to\s+step\s+(\d+(?:\.\d+)*)"),
+    ("abort", r"^abort\s+(?:these\s+steps|this\s+algorithm)\b"),
+    ("return", r"^return\b"),
+    ("otherwise", r"^otherwise\b"),
+    ("loop", r"^for\s+each\b"),
+    ("loop", r"^while\b"),
+    ("parallel", r"^in\s+parallel[,\s]"),
+    ("parallel", r"\bin\s+parallel\b"),
+    ("if_block", r"^if\b"),
+    ("if_inline", r"^if\b.*,\s*then\b"),
+    ("unrecognised", r"^(?:continue|break|switch\s+on)\b"),
 ]
-_SHAPES = [(k, re.compile(p)) for k, p in SHAPES]
+_SHAPES = [(k, re.compile(p, re.I)) for k, p in SHAPES]
 #: The kind of node each shape makes.
 NODE_KIND = {"abort": "terminal", "return": "terminal", "otherwise": "branch", "if_block": "branch", "if_inline": "branch", "loop": "loop", "parallel": "parallel"}
 _BRANCHES = ("if_block", "if_inline", "otherwise")
@@ -193,7 +196,7 @@ def flow(markdown: str | None, calls: dict[str, list[str]] | None = None) -> tup
             if go:
                 edges.append((me, go[1], "unknown"))
         if kind == "jump":
-            label = _SHAPES[0][1].search(texts[i]).group(1)
+            label = next(m.group(1) for k, p in _SHAPES if k == "jump" and (m := p.search(texts[i])))
             if label in ids:
                 edges.append((me, label, "jump"))
             else:
@@ -207,39 +210,64 @@ def flow(markdown: str | None, calls: dict[str, list[str]] | None = None) -> tup
 
 _VAR = re.compile(r"(?<![*\w])\*([A-Za-z][\w-]*)\*(?!\*)")
 _SLOT = re.compile(r"\*([A-Za-z][\w-]*)\*(?:'s\s+|’s\s+|\.)\[\[(\w+)\]\]")
-#: Statement kinds in the order in which they are tried. Fixed values.
+#: Statement kinds and the words they begin with, in the order in which they are tried, in any case. Fixed values.
 STATEMENTS = [
-    ("let", r"(?i)^let\b"),
-    ("set", r"(?i)^(?:set|unset)\b"),
-    ("append", r"(?i)^(?:append|prepend|add|insert|push|enqueue)\b"),
-    ("remove", r"(?i)^(?:remove|empty|clear|delete|dequeue|pop)\b"),
-    ("if", r"(?i)^if\b"),
-    ("otherwise", r"(?i)^otherwise\b"),
-    ("for_each", r"(?i)^for\s+each\b"),
-    ("while", r"(?i)^while\b"),
-    ("return", r"(?i)^return\b"),
-    ("throw", r"(?i)^(?:throw|reject)\b"),
-    ("assert", r"(?i)^assert\b"),
-    ("wait", r"(?i)^wait\b"),
-    ("abort", r"(?i)^abort\b"),
-    ("jump", r"(?i)^jump\b"),
-    ("call", r"(?i)^(?:run|perform|invoke|call|fire|queue|fetch|validate|resolve|dispatch|in parallel)\b"),
+    ("if", r"^if\b"),
+    ("otherwise", r"^(?:otherwise|else)\b"),
+    ("for_each", r"^for\s+each\b"),
+    ("while", r"^(?:while\b|repeat\b|loop:)"),
+    ("return", r"^return\b"),
+    ("throw", r"^(?:throw|reject)\b"),
+    ("abort", r"^(?:abort|terminate)\b"),
+    ("jump", r"^jump\b"),
+    ("continue", r"^continue\b"),
+    ("break", r"^break\b"),
+    ("wait", r"^wait\b"),
+    ("parallel", r"^in\s+parallel\b"),
+    ("steps", r"^run\s+(?:the\s+following|these)\s+steps\b"),
+    ("assert", r"^assert\b"),
+    ("set", r"^(?:set|unset)\b"),
+    ("let", r"^let\b"),
+    ("increment", r"^(?:increment|increase)\b"),
+    ("decrement", r"^(?:decrement|decrease)\b"),
+    ("append", r"^(?:append|prepend|add|insert|push|enqueue|extend)\b"),
+    ("remove", r"^(?:remove|empty|clear|delete|dequeue|pop)\b"),
+    ("call", r"^(?:run|perform|invoke|call|fire|queue|fetch|validate|resolve|dispatch)\b"),
 ]
-_STATEMENTS = [(k, re.compile(p)) for k, p in STATEMENTS]
+_STATEMENTS = [(k, re.compile(p, re.I)) for k, p in STATEMENTS]
+#: Verbs that change something; a statement of no known form that holds one may write. Fixed values.
+LEXICON = ["set", "unset", "append", "prepend", "remove", "insert", "extend", "replace", "empty", "clear", "increment", "decrement", "update", "change", "reset", "enqueue", "dequeue", "add", "store", "mark", "toggle"]
+_LEXICON = re.compile(rf"(?<![\w-])(?:{'|'.join(LEXICON)})(?![\w-])", re.I)
+_TUPLE = re.compile(r"(?i)^let\s+(?:\(\s*)?((?:\*[A-Za-z][\w-]*\*(?:\s*,\s*(?:and\s+)?|\s+and\s+))+\*[A-Za-z][\w-]*\*)\s*\)?\s+be\b")
+
+
+def opaque_reason(text: str) -> str:
+    """Why a statement of no known form is opaque: it may write (a verb that changes something), it only links to other
+    steps, or nothing of it is known."""
+    if _LEXICON.search(plain(text)):
+        return "unparsed_mutation"
+    return "unparsed_link" if _LINK.search(text) else "unknown_form"
 
 
 def statement(text: str) -> dict:
-    """kind, defs, uses, writes and reads (fields as names in double brackets) and calls of one step's Markdown."""
+    """kind, action, defs, uses, writes and reads (fields as names in double brackets) and calls of one step's Markdown.
+
+    action is the kind of what a condition leads to, else kind. An opaque statement has a reason.
+    """
     text = " ".join(text.split())
     kind = next((k for k, p in _STATEMENTS if p.search(text)), "opaque")
-    inner = re.sub(r"(?i)^(?:if|otherwise,? if)\b.*?,\s*(?:then\s+)?(?=(?:set|let|append|remove|return|throw|run)\b)", "", text) if kind in ("if", "otherwise") else text
+    inner = re.sub(r"(?i)^(?:if|otherwise,? if|else,? if)\b.*?,\s*(?:then\s+)?(?=(?:set|unset|let|append|prepend|remove|return|throw|run|increment|decrement)\b)|^(?:otherwise|else),\s*(?=\w)", "", text) if kind in ("if", "otherwise") else text
     action = next((k for k, p in _STATEMENTS if p.search(inner)), kind) if inner is not text else kind
     defs: list[str] = []
     writes: list[str] = []
+    several = _TUPLE.match(inner)
     m = re.match(r"(?i)(?:let)\s+\*([A-Za-z][\w-]*)\*\s+be\b", inner) or re.match(r"(?i)set\s+\*([A-Za-z][\w-]*)\*\s+to\b", inner) or re.match(r"(?i)for\s+each\s+(?:\w+\s+)?\*([A-Za-z][\w-]*)\*", inner)
-    if m:
+    m = m or re.match(r"(?i)(?:increment|increase|decrement|decrease)\s+\*([A-Za-z][\w-]*)\*(?!['’.])", inner)
+    if several:
+        defs += _VAR.findall(several.group(1))
+    elif m:
         defs.append(m.group(1))
-    store = re.match(r"(?i)(?:set|unset)\s+\*([A-Za-z][\w-]*)\*(?:'s\s+|’s\s+|\.)\[\[(\w+)\]\]", inner) or re.match(r"(?i)(?:append|prepend|add|insert|push|enqueue|remove|empty|clear)\b.*?\*([A-Za-z][\w-]*)\*(?:'s\s+|’s\s+|\.)\[\[(\w+)\]\]", inner)
+    store = re.match(r"(?i)(?:set|unset|increment|increase|decrement|decrease)\s+\*([A-Za-z][\w-]*)\*(?:'s\s+|’s\s+|\.)\[\[(\w+)\]\]", inner) or re.match(r"(?i)(?:append|prepend|add|insert|push|enqueue|extend|remove|empty|clear|delete|dequeue|pop)\b.*?\*([A-Za-z][\w-]*)\*(?:'s\s+|’s\s+|\.)\[\[(\w+)\]\]", inner)
     if store:
         writes.append(store.group(2))
     slots = [f for _, f in _SLOT.findall(text)]
@@ -247,7 +275,8 @@ def statement(text: str) -> dict:
     for f in writes:
         reads.remove(f)
     used = _VAR.findall(text)
-    if m and m.group(1) in used:
-        used.remove(m.group(1))
+    for d in defs:  # the place that defines it is no use; counting up is one
+        if d in used and not (m and action in ("increment", "decrement")):
+            used.remove(d)
     calls = [u for _, u in _LINK.findall(text) if "#" in u]
-    return {"kind": kind, "action": action, "defs": defs, "uses": list(dict.fromkeys(used)), "writes": writes, "reads": list(dict.fromkeys(reads)), "calls": list(dict.fromkeys(calls))}
+    return {"kind": kind, "action": action, "reason": opaque_reason(text) if kind == "opaque" else None, "defs": defs, "uses": list(dict.fromkeys(used)), "writes": writes, "reads": list(dict.fromkeys(reads)), "calls": list(dict.fromkeys(calls))}

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.operators.corpus import Corpus, node
-from docweft.operators.runtime import cut
+from docweft.operators.runtime import cut, union
 
 #: How a callee runs, as numbers whose greatest is the composition of two. Fixed values.
 INLINE, UNKNOWN, SEPARATE = 0, 1, 2
@@ -18,8 +19,12 @@ EXECUTION = ["inline", "unknown", "separate"]
 #: Categories of effect kinds and the order in which they are listed. Fixed values.
 CATEGORY = {"event.fire": "events", "event.dispatch": "events", "scheduling.enqueue": "async", "scheduling.parallel": "async", "scheduling.promise-continuation": "async", "script.invoke": "script", "script.opportunity": "script", "execution.context": "context"}
 CATEGORY_ORDER = ["async", "script", "events"]
-#: Words before or in a link that make it a call. Fixed values.
-VERBS = "abort append apply call clean continue dispatch enqueue evaluate execute fire invoke load navigate obtain parse perform prepare queue resume run schedule serialize wait".split()
+#: Words in a link, or among the five before it, that make it a call; also with -ing and -ed. Fixed values.
+VERBS = ["abort", "append", "apply", "call", "clean", "continue", "dispatch", "enqueue", "evaluate", "execute", "fire", "invoke", "load", "navigate", "obtain", "parse", "perform", "prepare", "queue", "resume", "run", "schedule", "serialize", "wait"]
+#: Forms of those that do not follow the rule. Fixed values.
+FORMS = ["running", "ran", "applying", "applied"]
+#: Words that make a link a call only as its first. Fixed values.
+LINK_VERBS = ["attempt", "check", "commit", "consider", "create", "deactivate", "destroy", "disentangle", "finalize", "finish", "initialise", "initialize", "notify", "register", "report", "process", "reactivate", "reset", "respond", "scroll", "set", "stop", "unload", "update"]
 
 
 @dataclass(frozen=True)
@@ -109,9 +114,22 @@ def canonical_params(params: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[params[n].alias(n) for n in names]), {"ignoreNullFields": "false"})
 
 
-def effect_id(kind: Column, params: Column, digits: int = 16) -> Column:
-    """``ef_`` and the first hex digits of the SHA-256 of kind and canonical parameters."""
-    return F.concat(F.lit("ef_"), F.substring(F.sha2(F.concat_ws("\u0000", kind, params), 256), 1, digits))
+def effect_id(kind: Column, params: Column) -> Column:
+    """``ef_`` and the SHA-256 of kind and canonical parameters in hex."""
+    return F.concat(F.lit("ef_"), F.sha2(F.concat_ws("\u0000", kind, params), 256))
+
+
+def effect_handles(effects: DataFrame, digits: int = 16) -> DataFrame:
+    """effect and its short handle: the first 16 hex digits, for effects that share them as many more as tell them apart.
+
+    The first shared digits of sorted neighbours decide, so each effect looks at two others only; the sort runs within
+    groups of equal first digits.
+    """
+    known = effects.select("effect").distinct().withColumn("_p", F.substring("effect", 1, 3 + digits))
+    w = Window.partitionBy("_p").orderBy("effect")
+    same = lambda other: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(digits), F.lit(64)), lambda n: F.substring("effect", F.lit(4), n) == F.substring(other, F.lit(4), n))), F.lit(0))
+    near = known.withColumns({"_a": F.lag("effect").over(w), "_z": F.lead("effect").over(w)})
+    return near.select("effect", F.substring("effect", F.lit(1), F.lit(3) + F.greatest(F.lit(digits), same(F.col("_a")) + 1, same(F.col("_z")) + 1)).alias("handle"))
 
 
 def match_rules(steps: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -140,14 +158,27 @@ def match_rules(steps: DataFrame, rules: list[Rule]) -> DataFrame:
     return kept.select("node", "kind", "params", F.when(F.col("_best") > 0, F.col("_all")).otherwise(F.col("rule_ids")).alias("rule_ids"), "step_path", "step_no")
 
 
+def calls_in(text: Column, anchor: Column) -> Column:
+    """Whether a step's words make its reference to an anchor a call: a verb in the link's text or among the five words
+    before the link, or one of the link verbs at the link's head ("potentially" aside). Texts that do not hold the link
+    itself are judged by all their words."""
+    verb = r"(?i)\b(?:" + "|".join(v[:-1] + "(?:e|es|ed|ing)" if v[-1] == "e" else v + "(?:s|ed|ing)?" for v in VERBS) + "|" + "|".join(FORMS) + r")\b"
+    head = r"(?i)^\s*(?:potentially\s+)?(?:" + "|".join(LINK_VERBS) + r")\b"
+    end = F.concat(F.lit("#"), anchor, F.lit(")"))
+    upto = F.call_function("substring_index", text, end, F.lit(1))
+    link = F.regexp_extract(upto, r"\[([^\[\]]*)\]\([^()]*$", 1)
+    near = F.regexp_extract(F.regexp_replace(upto, r"\[[^\[\]]*\]\([^()]*$", ""), r"((?:\S+\s+){0,5})$", 1)
+    return F.when(F.contains(text, end), F.concat_ws(" ", near, link).rlike(verb) | link.rlike(head)).otherwise(text.rlike(verb))
+
+
 def call_steps(corpus: Corpus) -> DataFrame:
-    """Calls between algorithms, step by step: src, dst, relation, exec, step_path. A step reference whose text holds an
-    action verb (bare, or ending in -ing or -ed) runs inline; any other to an algorithm is a candidate with unknown
-    execution; to anything else a mention, which carries nothing."""
-    verb = r"(?i)\b(?:" + "|".join(VERBS) + r")(?:s|ing|ed|d)?\b"
+    """Calls between algorithms, step by step: src, dst, relation, exec, step_path. A step reference whose words make it a
+    call (``calls_in``) runs inline; any other to an algorithm is a candidate with unknown execution; to anything else a
+    mention, which carries nothing."""
     kinds = corpus.sections.select(F.col("spec").alias("to_spec"), F.col("anchor").alias("to_anchor"), "section_type")
     r = corpus.refs.filter("from_anchor is not null and to_anchor is not null and kind = 'step'").join(kinds, ["to_spec", "to_anchor"], "left")
-    relation = F.when(F.coalesce(F.col("section_type") != "algorithm", F.lit(True)), "mention").when(F.col("step_text").rlike(verb), "invoke").otherwise("candidate_invoke")
+    called = F.coalesce(calls_in(F.col("step_text"), F.col("to_anchor")), F.lit(False))
+    relation = F.when(F.coalesce(F.col("section_type") != "algorithm", F.lit(True)), "mention").when(called, "invoke").otherwise("candidate_invoke")
     each = r.select(node("spec", "from_anchor").alias("src"), node("to_spec", "to_anchor").alias("dst"), relation.alias("relation"), F.when(F.col("step_text").rlike(r"(?i)\bin parallel\b"), SEPARATE).when(relation == "invoke", INLINE).otherwise(UNKNOWN).alias("exec"), "step_path")
     return each.distinct()
 
@@ -170,7 +201,7 @@ def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = No
     """
     e = cut(edges.select("src", "dst", "exec").distinct())
     seen = cut(local.select("node", "effect").distinct().select("node", "effect", F.lit(INLINE).alias("exec"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("next_node")))
-    delta, rounds, partial = seen, 0, False
+    delta, rounds, partial, parts = seen, 0, False, [seen]
     while True:
         rounds += 1
         came = delta.select(F.col("node").alias("dst"), "effect", F.col("exec").alias("_x")).join(e, "dst").select("src", "dst", "effect", F.col("exec").alias("_e"), F.greatest("exec", "_x").alias("exec"))
@@ -180,10 +211,11 @@ def propagate(edges: DataFrame, local: DataFrame, blocked: DataFrame | None = No
             came = came.join(own_blocked.select("src", "dst", F.col("exec").alias("_e"), "effect"), ["src", "dst", "_e", "effect"], "left_anti")
         met = seen if own_blocked is None else seen.filter("distance > 0")
         new = came.groupBy(F.col("src").alias("node"), "effect", "exec").agg(F.min("dst").alias("next_node")).join(met.select("node", "effect", "exec"), ["node", "effect", "exec"], "left_anti")
-        delta = cut(new.select("node", "effect", "exec", F.lit(rounds).alias("distance"), "next_node"))
+        delta = cut(new.select("node", "effect", "exec", F.lit(rounds).alias("distance"), "next_node"), bare=True)
         if delta.isEmpty():
             break
-        seen = cut(seen.unionByName(delta))
+        parts.append(delta)
+        seen = union(parts)
         if max_states is not None and seen.count() > max_states:
             partial = True
             break
@@ -229,11 +261,16 @@ class Effects:
     def local(self) -> DataFrame:
         return match_rules(self.steps, self.rules).withColumn("effect", effect_id(F.col("kind"), F.col("params")))
 
+    @cached_property
+    def local_once(self) -> DataFrame:
+        """The local occurrences, worked out once."""
+        return cut(self.local())
+
     def calls(self) -> DataFrame:
         return call_edges(self.corpus).filter("relation <> 'mention'")
 
     def states(self, max_states: int | None = None) -> DataFrame:
-        return self._states(cut(self.local()), max_states)
+        return self._states(self.local_once, max_states)
 
     def _states(self, local: DataFrame, max_states: int | None = None) -> DataFrame:
         calls = cut(call_steps(self.corpus).filter("relation <> 'mention'"))
@@ -241,7 +278,7 @@ class Effects:
 
     def summaries(self) -> DataFrame:
         """Per section and effect: node, effect, kind, category_rank, params, executions, local_sites, distance."""
-        local = cut(self.local())
+        local = self.local_once
         names = local.groupBy("effect").agg(F.min("kind").alias("kind"), F.min("params").alias("params"))
         sites = local.groupBy("node", "effect").agg(F.count("*").alias("local_sites"))
         states = self._states(local)
@@ -256,24 +293,60 @@ def preview(summaries: DataFrame, limit: int = 12) -> DataFrame:
     return summaries.withColumn("effect_no", F.row_number().over(w)).withColumn("omitted", F.greatest(n - limit, F.lit(0))).filter(F.col("effect_no") <= limit)
 
 
-def witnesses(states: DataFrame, wanted: DataFrame, max_depth: int = 64) -> DataFrame:
+def witnesses(states: DataFrame, wanted: DataFrame) -> DataFrame:
     """A shortest way from each wanted (node, effect) to a section that has the effect itself: node, effect, path.
 
-    Ways follow the predecessors that propagation recorded, all at once, one join a step.
+    Ways follow the predecessors that propagation recorded. They grow by doubling: a round joins each open way with the
+    way of as many links that goes on from its end, so a way of n links takes log n rounds, and none is too long.
     """
     # a state at some distance came from one of its next node a link nearer
-    best = cut(states.groupBy("node", "effect", "distance").agg(F.min("next_node").alias("next_node")))
-    nearest = best.groupBy("node", "effect").agg(F.min_by(F.struct("next_node", "distance"), "distance").alias("b")).select("node", "effect", "b.next_node", "b.distance")
-    open_ = wanted.select("node", "effect").distinct().join(nearest, ["node", "effect"]).select("node", "effect", F.array("node").alias("path"), F.col("next_node").alias("at"), (F.col("distance") - 1).alias("distance"))
-    done = open_.filter("at is null")
-    for _ in range(max_depth):
-        open_ = cut(open_.filter("at is not null"))
-        if open_.isEmpty():
-            break
-        nxt = best.select(F.col("node").alias("at"), "effect", "distance", F.col("next_node").alias("_to"))
-        open_ = open_.join(nxt, ["at", "effect", "distance"]).select("node", "effect", F.concat("path", F.array("at")).alias("path"), F.col("_to").alias("at"), (F.col("distance") - 1).alias("distance"))
-        done = done.unionByName(open_.filter("at is null"))
-    return done.select("node", "effect", "path")
+    best = states.groupBy("node", "effect", "distance").agg(F.min("next_node").alias("next_node"))
+    hop = cut(best.select("node", "effect", "distance", F.array("node").alias("path"), F.col("next_node").alias("at"), (F.col("distance") - 1).alias("left")))
+    while not hop.filter("at is not null").isEmpty():
+        on = hop.select(F.col("node").alias("at"), "effect", F.col("distance").alias("left"), F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("left").alias("_left"))
+        grown = hop.join(on, ["at", "effect", "left"], "left")
+        more = F.col("_path").isNotNull()
+        hop = cut(grown.select("node", "effect", "distance", F.when(more, F.concat("path", "_path")).otherwise(F.col("path")).alias("path"), F.when(more, F.col("_at")).alias("at"), F.when(more, F.col("_left")).otherwise(F.col("left")).alias("left")), bare=True)
+    nearest = hop.groupBy("node", "effect").agg(F.min_by("path", "distance").alias("path"))
+    return wanted.select("node", "effect").distinct().join(nearest, ["node", "effect"])
+
+
+def with_status(summaries: DataFrame, issues: DataFrame, calls: DataFrame) -> DataFrame:
+    """Summaries with ``status``: complete, unless the node or one that it calls has an issue; then partial, with the
+    issue codes in ``issues``.
+
+    issues: node, code; calls: src, dst. Issues spread to callers like effects do. Codes that only cut a display short
+    (witness_budget, context_truncated) do not make a result partial.
+    """
+    spread_out = propagate(calls.select("src", "dst", F.lit(INLINE).alias("exec")), issues.select("node", F.col("code").alias("effect")).distinct())
+    per = spread_out.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("effect")), ",").alias("issues"), F.max((~F.col("effect").isin("witness_budget", "context_truncated")).cast("int")).alias("_partial"))
+    return summaries.join(per, "node", "left").withColumn("status", F.when(F.col("_partial") == 1, "partial").otherwise("complete")).withColumn("issues", F.coalesce("issues", F.lit(""))).drop("_partial")
+
+
+def filter_effects(occurrences: DataFrame, kind: str | None = None, category: str | None = None, rule: str | None = None, effect: str | None = None, step: str | None = None) -> DataFrame:
+    """Occurrences of a kind, category, rule, effect (or its handle) and step path, as far as they are given."""
+    out = occurrences
+    if kind is not None:
+        out = out.filter(F.col("kind") == kind)
+    if category is not None:
+        out = out.filter(F.col("kind").isin([k for k, c in CATEGORY.items() if c == category]))
+    if rule is not None:
+        out = out.filter(F.array_contains("rule_ids", rule))
+    if effect is not None:
+        out = out.filter(F.startswith("effect", F.lit(effect)))
+    return out if step is None else out.filter(F.col("step_path") == step)
+
+
+def unresolved_calls(corpus: Corpus) -> DataFrame:
+    """Issues of step references: node, code. missing_spec where the target's spec is not in the corpus, missing_anchor
+    where its spec is and the section is not, unresolved_invocation where an algorithm is only a candidate."""
+    have = corpus.current.select(F.col("spec").alias("to_spec")).distinct().withColumn("_spec", F.lit(True))
+    r = corpus.refs.filter("from_anchor is not null and to_anchor is not null and kind = 'step'").join(have, "to_spec", "left")
+    at = corpus.sections.select(F.col("spec").alias("to_spec"), F.col("anchor").alias("to_anchor"), "section_type")
+    r = r.join(at, ["to_spec", "to_anchor"], "left")
+    called = F.coalesce(calls_in(F.col("step_text"), F.col("to_anchor")), F.lit(False))
+    code = F.when(F.col("_spec").isNull(), "missing_spec").when(F.col("section_type").isNull(), "missing_anchor").when((F.col("section_type") == "algorithm") & ~called, "unresolved_invocation")
+    return r.select(node("spec", "from_anchor").alias("node"), code.alias("code")).filter("code is not null").distinct()
 
 
 def publication_diff(old: DataFrame, new: DataFrame) -> DataFrame:

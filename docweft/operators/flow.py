@@ -50,8 +50,8 @@ def flow_graphs(corpus: Corpus) -> DataFrame:
 
 def steps_of(corpus: Corpus) -> DataFrame:
     """Every step of every algorithm as a statement: spec, anchor, step_no, step_path, parent_path, depth, text, kind,
-    action, defs, uses, writes, reads, calls. A step of no known form is ``opaque``, never left out."""
-    schema = pa.schema([("spec", pa.string()), ("anchor", pa.string()), ("step_no", pa.int32()), ("step_path", pa.string()), ("parent_path", pa.string()), ("depth", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("action", pa.string()), *[(c, _STRINGS) for c in ("defs", "uses", "writes", "reads", "calls")]])
+    action, reason (of opaque ones), defs, uses, writes, reads, calls. A step of no known form is ``opaque``, never left out."""
+    schema = pa.schema([("spec", pa.string()), ("anchor", pa.string()), ("step_no", pa.int32()), ("step_path", pa.string()), ("parent_path", pa.string()), ("depth", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("action", pa.string()), ("reason", pa.string()), *[(c, _STRINGS) for c in ("defs", "uses", "writes", "reads", "calls")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,11 +60,11 @@ def steps_of(corpus: Corpus) -> DataFrame:
                 steps = S.parse_steps(text)
                 for i, s in enumerate(steps):
                     st = S.statement(s.text)
-                    out.append((spec, anchor, i, s.path, steps[s.parent].path if s.parent >= 0 else None, s.path.count(".") + 1, S.plain(s.text), st["kind"], st["action"], st["defs"], st["uses"], st["writes"], st["reads"], st["calls"]))
+                    out.append((spec, anchor, i, s.path, steps[s.parent].path if s.parent >= 0 else None, s.path.count(".") + 1, S.plain(s.text), st["kind"], st["action"], st["reason"], st["defs"], st["uses"], st["writes"], st["reads"], st["calls"]))
             yield _emit(schema, out)
 
     arrays = ", ".join(f"{c} array<string>" for c in ("defs", "uses", "writes", "reads", "calls"))
-    return spread(algorithms(corpus)).mapInArrow(run, f"spec string, anchor string, step_no int, step_path string, parent_path string, depth int, text string, kind string, action string, {arrays}")
+    return spread(algorithms(corpus)).mapInArrow(run, f"spec string, anchor string, step_no int, step_path string, parent_path string, depth int, text string, kind string, action string, reason string, {arrays}")
 
 
 def numeric_path(path: str = "step_path"):

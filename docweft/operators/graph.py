@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.operators.corpus import Corpus, node
-from docweft.operators.runtime import cut
+from docweft.operators.runtime import cut, union
 
 
 def node_edges(corpus: Corpus) -> DataFrame:
@@ -60,6 +60,7 @@ def neighbourhoods(edges: DataFrame, roots: DataFrame, direction: str = "outgoin
     steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
     seen = roots.select(F.col("id").alias("root")).filter("root is not null").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank"))
     seen = cut(seen)
+    parts = [seen]
     over = None
     links = None
     for depth in range(1, max_depth + 1):
@@ -79,7 +80,8 @@ def neighbourhoods(edges: DataFrame, roots: DataFrame, direction: str = "outgoin
             more = ranked.filter(F.col("rank") == max_nodes + 1).select("root").distinct()
             over = more if over is None else over.unionByName(more)
             ranked = ranked.filter(F.col("rank") <= max_nodes)
-        seen = cut(seen.unionByName(ranked.select("root", "id", F.lit(depth).alias("depth"), "rank")))
+        parts.append(cut(ranked.select("root", "id", F.lit(depth).alias("depth"), "rank"), bare=True))
+        seen = union(parts)
     if links is None:
         links = seen.limit(0).select("root", F.col("id").alias("src"), F.col("id").alias("dst"))
     ids = seen.select("root", "id")
@@ -123,14 +125,16 @@ def _with_bridges(seen: DataFrame, links: DataFrame, include: list[str], exclude
 def distances(edges: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
     """The least number of links from each node to each target, up to ``max_depth``: target, id, distance."""
     seen = cut(targets.select(F.col("id").alias("target")).filter("target is not null").distinct().select("target", F.col("target").alias("id"), F.lit(0).alias("distance")))
+    parts = [seen]
     back = edges.select(F.col("dst").alias("_at"), F.col("src").alias("id"))
     for depth in range(1, max_depth + 1):
         front = seen.filter(F.col("distance") == depth - 1).select("target", F.col("id").alias("_at"))
         new = front.join(back, "_at").select("target", "id").distinct().join(seen.select("target", "id"), ["target", "id"], "left_anti")
-        new = cut(new.withColumn("distance", F.lit(depth)))
+        new = cut(new.withColumn("distance", F.lit(depth)), bare=True)
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
+        parts.append(new)
+        seen = union(parts)
     return seen
 
 
@@ -205,6 +209,7 @@ def closure(links: DataFrame, roots: DataFrame, cap: int = 64) -> DataFrame:
     """
     seen = cut(roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank")))
     depth = 0
+    parts = [seen]
     while True:
         depth += 1
         front = seen.filter(F.col("depth") == depth - 1).select("root", F.col("id").alias("src"), F.col("rank").alias("_r"))
@@ -212,10 +217,11 @@ def closure(links: DataFrame, roots: DataFrame, cap: int = 64) -> DataFrame:
         have = seen.groupBy("root").agg(F.count("*").alias("_have"))
         w = Window.partitionBy("root").orderBy("_o")
         new = new.withColumn("_n", F.row_number().over(w)).join(have, "root").withColumn("rank", (F.col("_n") + F.col("_have")).cast("bigint")).filter(F.col("rank") <= cap)
-        new = cut(new.select("root", "id", F.lit(depth).alias("depth"), "rank"))
+        new = cut(new.select("root", "id", F.lit(depth).alias("depth"), "rank"), bare=True)
         if new.isEmpty():
             return seen
-        seen = cut(seen.unionByName(new))
+        parts.append(new)
+        seen = union(parts)
 
 
 def mermaid(nodes: DataFrame, links: DataFrame, by: str = "root") -> DataFrame:

@@ -49,6 +49,20 @@ def cut(df: DataFrame, bare: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
 
 
+def union(parts: list[DataFrame], most: int = 16) -> DataFrame:
+    """The rows of all parts of a growing table. Only new parts are ever written; when there are more than ``most``, the
+    list is compacted in place into one, so plans stay small in loops of any length."""
+    if len(parts) > most:
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        parts[:] = [cut(whole, bare=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def bounded(dim: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """The dimension and whether it is small enough to broadcast: at most ``rows`` rows, by a count that stops at the
     bound, which hold at most ``most_bytes`` characters and numbers as JSON."""

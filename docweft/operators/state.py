@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docweft.functions import steps as S
 from docweft.operators.corpus import Corpus, node
 from docweft.operators.flow import algorithms
-from docweft.operators.runtime import cut, spread
+from docweft.operators.runtime import cut, spread, union
 
 #: Order of the bases of supertypes. Fixed values.
 BASES = ["inheritance", "includes", "override"]
@@ -87,15 +87,17 @@ def supertypes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """
     seen = cut(roots.select(F.col("type_key").alias("root")).filter("root is not null").distinct().select("root", F.col("root").alias("type_key"), F.lit(0).alias("depth"), F.array(F.lit(0)).alias("order"), F.array("root").alias("path")))
     depth = 0
+    parts = [seen]
     while True:
         depth += 1
         front = seen.filter(F.col("depth") == depth - 1).select("root", "type_key", "order", "path")
         up = front.join(edges, "type_key").select("root", F.col("super_key").alias("type_key"), F.concat("order", F.array("pos")).alias("order"), F.concat("path", F.array("super_key")).alias("path"))
         new = up.groupBy("root", "type_key").agg(F.min(F.struct("order", "path")).alias("o")).join(seen.select("root", "type_key"), ["root", "type_key"], "left_anti")
-        new = cut(new.select("root", "type_key", F.lit(depth).alias("depth"), "o.order", "o.path"))
+        new = cut(new.select("root", "type_key", F.lit(depth).alias("depth"), "o.order", "o.path"), bare=True)
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
+        parts.append(new)
+        seen = union(parts)
     w = Window.partitionBy("root").orderBy("depth", "order", "type_key")
     return seen.withColumn("rank", F.row_number().over(w)).select("root", "type_key", "depth", "rank", "path")
 
@@ -213,6 +215,30 @@ def slices(corpus: Corpus, criteria: DataFrame) -> DataFrame:
     return spread(src).mapInArrow(run, "spec string, anchor string, variable string, step_path string, role string")
 
 
+def backward_slices(corpus: Corpus, targets: DataFrame) -> DataFrame:
+    """Backward slices: spec, anchor, target, step_path, role, for each target step (spec, anchor, target path). A path that
+    no step has gives no rows."""
+    src = algorithms(corpus).join(targets, ["spec", "anchor"])
+    schema = pa.schema([("spec", pa.string()), ("anchor", pa.string()), ("target", pa.string()), ("step_path", pa.string()), ("role", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(s, a, v, p, r) for s, a, t, v in zip(*(b.column(c).to_pylist() for c in ("spec", "anchor", "content_text", "target"))) for p, r in slice_backward(t, v)[0]]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.record_batch([pa.array(list(c), pa.string()) for c in cols], schema=schema)
+
+    return spread(src).mapInArrow(run, "spec string, anchor string, target string, step_path string, role string")
+
+
+def select_steps(steps: DataFrame, chosen: DataFrame, depth: int | None = None) -> DataFrame:
+    """The steps at and below chosen paths (spec, anchor, path), down to ``depth`` levels below each: spec, anchor, path,
+    step_path. Each step is joined by its own few ancestor paths, so no algorithm is crossed with itself."""
+    parts = F.split(F.col("step_path"), r"\.")
+    ups = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), ".").alias("path"), (F.size(parts) - i).alias("below")))).alias("u")
+    out = steps.select("spec", "anchor", "step_path", ups).select("spec", "anchor", "step_path", "u.*").join(chosen.select("spec", "anchor", "path").distinct(), ["spec", "anchor", "path"])
+    return (out if depth is None else out.filter(F.col("below") <= depth)).select("spec", "anchor", "path", "step_path")
+
+
 def omitted_runs(steps: DataFrame, kept: DataFrame) -> DataFrame:
     """Runs of neighbouring steps that a slice leaves out: spec, anchor, parent_path, first_path, last_path, n_steps.
 

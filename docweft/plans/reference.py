@@ -15,6 +15,7 @@ from docweft.operators.corpus import Corpus, node
 from docweft.operators.flow import flow_graphs, steps_of
 from docweft.operators.search import search
 from docweft.plans.general import _FULL, _TARGET
+from docweft.plans.steps_sql import SQL_PARTS, STEPS
 from docweft.sources.tables import Tables
 from docweft.streaming.refresh import due
 
@@ -32,11 +33,6 @@ def _algorithms(c: Corpus) -> DataFrame:
     return c.sections.filter("section_type = 'algorithm'").select(node().alias("id"))
 
 
-def _ref_steps(c: Corpus) -> DataFrame:
-    """Steps as the references tell them: one row per section, step path and text."""
-    return c.refs.filter("kind = 'step' and step_text is not null and step_path is not null and from_anchor is not null").select("spec", F.col("from_anchor").alias("anchor"), "step_path", F.col("step_text").alias("text")).distinct().withColumn("step_no", F.xxhash64("step_path", "text"))
-
-
 def specs_list(spark, path):
     return L.specs_list(_corpus(spark, path))
 
@@ -171,14 +167,6 @@ def graph_distances(spark, path):
 
 
 def trace_paths(spark, path):
-    """The part that SQL can list: pairs at distance 2, paths of at most 3 distinct links. trace_paths_all has the rest."""
-    c = _corpus(spark, path)
-    edges = G.node_edges(c)
-    pairs = G.distances(edges, _algorithms(c), 2).filter("distance = 2").select(F.col("id").alias("source"), "target")
-    return G.simple_paths(edges, pairs, 3, 1000).select("source", "target", "hops", F.array_join("path", " > ").alias("way"))
-
-
-def trace_paths_all(spark, path):
     """Every path of at most 6 references from any section to any algorithm; parallel references are paths of their own."""
     c = _corpus(spark, path)
     links = c.refs.filter("from_anchor is not null and to_anchor is not null and to_spec is not null").select(node("spec", "from_anchor").alias("src"), node("to_spec", "to_anchor").alias("dst"), "ord", "id").filter("src <> dst")
@@ -192,50 +180,54 @@ def dependency_closure(spark, path):
 
 
 def flow_all(spark, path):
-    return flow_graphs(_corpus(spark, path))
+    return flow_graphs(_corpus(spark, path)).drop("no")
 
 
 def statements(spark, path):
-    return steps_of(_corpus(spark, path))
+    join = lambda c, sort: F.array_join(F.array_sort(c) if sort else F.col(c), " ").alias(c)
+    return steps_of(_corpus(spark, path)).select("spec", "anchor", "step_no", "step_path", "parent_path", "depth", "text", "kind", "action", "reason", join("defs", False), join("uses", True), join("writes", False), join("reads", True), join("calls", True))
 
 
 def effect_calls(spark, path):
     return E.call_edges(_corpus(spark, path)).select("src", "dst", "relation", "exec")
 
 
-def effect_occurrences(spark, path):
-    """The part that SQL can read: only steps that hold a step reference. effect_occurrences_all has every step."""
-    return E.match_rules(_ref_steps(_corpus(spark, path)), E.DEFAULT_RULES).select("node", "step_path", "kind", "params", F.array_join("rule_ids", ",").alias("rules"))
-
-
-def effect_states(spark, path):
-    """The part that SQL can read: kinds on steps that hold a step reference. effect_states_all has every step and effect."""
-    c = _corpus(spark, path)
-    local = E.match_rules(_ref_steps(c), E.DEFAULT_RULES).select("node", F.col("kind").alias("effect"))
-    return E.propagate(E.call_edges(c).filter("relation <> 'mention'"), local).select("node", "effect", "exec", "distance")
+def effect_issues(spark, path):
+    return E.unresolved_calls(_corpus(spark, path))
 
 
-def effect_occurrences_all(spark, path):
+def effect_occurrences(spark, path):
     """The effects of every step of every algorithm."""
     c = _corpus(spark, path)
-    return E.Effects(c, steps_of(c)).local().select("node", "step_path", "kind", "params", "effect", F.array_join("rule_ids", ",").alias("rules"))
+    return E.Effects(c, steps_of(c)).local().select("node", "step_path", "kind", "params", F.array_join("rule_ids", ",").alias("rules"))
 
 
-def effect_states_all(spark, path):
+def effect_states(spark, path):
     """Effects (kind and parameters) of every step, propagated along calls."""
     c = _corpus(spark, path)
-    return E.Effects(c, steps_of(c)).states().groupBy("node", "effect", "exec").agg(F.min("distance").alias("distance"))
+    effects = E.Effects(c, steps_of(c))
+    local = effects.local_once
+    names = local.groupBy("effect").agg(F.min("kind").alias("kind"), F.min("params").alias("params"))
+    return effects.states().groupBy("node", "effect", "exec").agg(F.min("distance").alias("distance")).join(names, "effect").select("node", "kind", "params", "exec", "distance")
 
 
 def effect_summaries(spark, path):
     c = _corpus(spark, path)
-    return E.preview(E.Effects(c, steps_of(c)).summaries())
+    return E.preview(E.Effects(c, steps_of(c)).summaries()).drop("effect")
 
 
 def state_fields(spark, path):
     return S.field_views(S.sites(steps_of(_corpus(spark, path))))
 
 
+def state_members(spark, path):
+    return S.member_view(steps_of(_corpus(spark, path)))
+
+
+def state_counts(spark, path):
+    return S.occurrence_counts(S.sites(steps_of(_corpus(spark, path))))
+
+
 def state_types(spark, path):
     c = _corpus(spark, path)
     fields = S.fields(c)
@@ -252,6 +244,13 @@ def slices_forward(spark, path):
     return S.slices(c, S.first_definitions(steps_of(c)))
 
 
+def slices_backward(spark, path):
+    """What may decide the last step of each algorithm."""
+    c = _corpus(spark, path)
+    last = steps_of(c).groupBy("spec", "anchor").agg(F.max_by("step_path", "step_no").alias("target"))
+    return S.backward_slices(c, last)
+
+
 def omitted_runs(spark, path):
     c = _corpus(spark, path)
     steps = steps_of(c)
@@ -282,8 +281,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, call_bindings, state_unlinked, pr_overlay, pr_diff, section_diff,
-        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, trace_paths_all, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_occurrences_all, effect_states_all, effect_summaries,
-        state_fields, state_types, algorithm_views, slices_forward, omitted_runs, source_addresses, step_drift, checks_due,
+        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_issues, effect_summaries,
+        state_fields, state_members, state_counts, state_types, algorithm_views, slices_forward, slices_backward, omitted_runs, source_addresses, step_drift, checks_due,
     )
 }
 
@@ -363,26 +362,39 @@ def _shorthand_sql() -> str:
 SELECT * FROM (SELECT query_no, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, spec, anchor) AS rank_no, score, spec, anchor, title, section_type FROM hits WHERE score > 0) WHERE rank_no <= 10"""
 
 
-_TRUE_STEPS = "steps AS (SELECT DISTINCT spec || '#' || from_anchor AS node, step_path, step_text AS text FROM cref WHERE kind = 'step' AND step_text IS NOT NULL AND step_path IS NOT NULL)"
+#: What the default rules say, said once more: kind, pattern, parameters as SQL, rule.
+_RULES = [
+    ("scheduling.enqueue", r"\bqueue (?:a|an|the) (\w+ \w+)", r"""'{"queue":"' || regexp_extract(text, '\bqueue (?:a|an|the) (\w+ \w+)', 1, 'i') || '"}'""", "queue-step"),
+    ("scheduling.promise-continuation", r"^wait until\b", "'{}'", "wait-step"),
+    ("scheduling.parallel", r"\bin parallel\b", "'{}'", "in-parallel"),
+    ("event.dispatch", r"\bpost the (\w+ \w+)", r"""'{"name":"' || regexp_extract(text, '\bpost the (\w+ \w+)', 1, 'i') || '"}'""", "post-step"),
+    ("script.invoke", r"^reject the (\w+ \w+)", """'{"mechanism":"reject"}'""", "reject-step"),
+    ("script.invoke", r"^resolve\b", """'{"mechanism":"resolve"}'""", "resolve-step"),
+    ("script.opportunity", r"\bthrow a\b", "'{}'", "throw-step"),
+]
 
 
 def _rules_sql(what: str) -> str:
-    out = []
-    for r in E.DEFAULT_RULES:
-        p = r.pattern.removeprefix("(?i)").replace("(?:", "(?:")
-        pairs = ", ".join(f"'\"{n}\":' || " + ("'null'" if v is None else f"coalesce('\"' || nullif(regexp_extract(text, '{p}', {v[1:]}, 'i'), '') || '\"', 'null')" if v.startswith("$") else f"'\"{v}\"'") for n, v in sorted(r.params.items()))
-        known = " + ".join(["0"] + [("0" if v is None else f"CASE WHEN regexp_extract(text, '{p}', {v[1:]}, 'i') <> '' THEN 1 ELSE 0 END" if v.startswith("$") else "1") for v in r.params.values()])
-        params = f"'{{' || concat_ws(',', {pairs}) || '}}'" if r.params else "'{}'"
-        out.append(f"SELECT node, step_path, text, '{r.kind}' AS kind, {params} AS params, '{r.id}' AS rule, {known} AS known FROM steps WHERE regexp_matches(text, '{p}', 'i')")
-    return _REC + f", {_TRUE_STEPS}, raw AS ({' UNION ALL '.join(out)})" + what
-
-
-_CALLS = r""",
-calls AS (SELECT DISTINCT c.spec || '#' || from_anchor AS src, t_spec || '#' || t_anchor AS dst,
-  CASE WHEN coalesce(s.section_type <> 'algorithm', true) THEN 'mention' WHEN regexp_matches(step_text, '\b(VERBS)(s|ing|ed|d)?\b', 'i') THEN 'invoke' ELSE 'candidate_invoke' END AS relation,
-  CASE WHEN regexp_matches(step_text, '\bin parallel\b', 'i') THEN 2 WHEN s.section_type = 'algorithm' AND regexp_matches(step_text, '\b(VERBS)(s|ing|ed|d)?\b', 'i') THEN 0 ELSE 1 END AS exec
+    out = [f"SELECT node, step_path, '{kind}' AS kind, {params} AS params, '{rule}' AS rule FROM steps WHERE regexp_matches(text, '{p}', 'i')" for kind, p, params, rule in _RULES]
+    return _REC + STEPS + f", hits AS ({' UNION ALL '.join(out)})" + what
+
+
+_CALLED = r"""coalesce(regexp_matches(step_text, '\b(abort|append|appl(?:y|ied|ying)|call|clean|continu(?:e|ing)|dispatch|enqueu(?:e|ing)|evaluat(?:e|ing)|execut(?:e|ing)|fir(?:e|ing)|invok(?:e|ing)|load|navigat(?:e|ing)|obtain|pars(?:e|ing)|perform|prepar(?:e|ing)|queu(?:e|ing)|resum(?:e|ing)|run|ran|running|schedul(?:e|ing)|serializ(?:e|ing)|wait)(s|d|ed|ing)?\b', 'i'), false)"""
+_CALLS = f""",
+calls AS (SELECT DISTINCT c.spec || '#' || from_anchor AS src, t_spec || '#' || t_anchor AS dst, step_path,
+  CASE WHEN coalesce(s.section_type <> 'algorithm', true) THEN 'mention' WHEN {_CALLED} THEN 'invoke' ELSE 'candidate_invoke' END AS relation,
+  CASE WHEN regexp_matches(step_text, '\\bin parallel\\b', 'i') THEN 2 WHEN s.section_type = 'algorithm' AND {_CALLED} THEN 0 ELSE 1 END AS exec
   FROM cref c LEFT JOIN sec s ON s.spec = c.t_spec AND s.anchor = c.t_anchor WHERE c.kind = 'step')
-""".replace("VERBS", "|".join(E.VERBS))
+"""
+_STATES = (
+    _CALLS
+    + """, own AS (SELECT DISTINCT node, step_path, kind, params FROM hits), has AS (SELECT DISTINCT node, kind, params FROM own),
+go AS (SELECT DISTINCT src, dst, exec FROM calls WHERE relation <> 'mention'), sites AS (SELECT DISTINCT src, dst, exec, step_path FROM calls WHERE relation <> 'mention'),
+stays AS (SELECT a.src, a.dst, a.exec, h.kind, h.params FROM sites a JOIN has h ON h.node = a.dst LEFT JOIN own o ON o.node = a.src AND o.step_path = a.step_path AND o.kind = h.kind AND o.params = h.params GROUP BY ALL HAVING count(*) = count(o.node)),
+walk AS (SELECT node, kind, params, 0 AS exec, 0 AS distance FROM has
+  UNION SELECT g.src, w.kind, w.params, greatest(g.exec, w.exec), w.distance + 1 FROM walk w JOIN go g ON g.dst = w.node
+  WHERE w.distance < 40 AND NOT (w.distance = 0 AND EXISTS (SELECT 1 FROM stays x WHERE x.src = g.src AND x.dst = g.dst AND x.exec = g.exec AND x.kind = w.kind AND x.params = w.params)))"""
+)
 
 _NEAR = """
 walk AS (
@@ -453,27 +465,35 @@ SELECT md5(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+',
     "graph_neighbourhood": _REC + "," + _NEAR.format(to="dst", at="src", most=2) + " SELECT root, id, min(depth) AS depth FROM walk GROUP BY ALL",
     "graph_distances": _REC + "," + _NEAR.format(to="src", at="dst", most=3) + " SELECT root AS target, id, min(depth) AS distance FROM walk GROUP BY ALL",
     "trace_paths": _REC
-    + ","
-    + _NEAR.format(to="src", at="dst", most=2)
-    + """, pairs AS (SELECT root AS target, id AS source FROM walk GROUP BY ALL HAVING min(depth) = 2),
-paths AS (SELECT source, target, [source] AS way FROM pairs UNION ALL SELECT p.source, p.target, list_append(p.way, e.dst) FROM paths p JOIN edge e ON e.src = p.way[-1] WHERE len(p.way) <= 3 AND p.way[-1] <> p.target AND NOT list_contains(p.way, e.dst))
-SELECT source, target, len(way) - 1 AS hops, array_to_string(way, ' > ') AS way FROM paths WHERE way[-1] = target""",
+    + """, lk AS (SELECT spec || '#' || from_anchor AS src, t_spec || '#' || t_anchor AS dst, ord, id FROM cref WHERE spec || '#' || from_anchor <> t_spec || '#' || t_anchor),
+goal AS (SELECT spec || '#' || anchor AS id FROM sec WHERE section_type = 'algorithm'),
+near AS (SELECT id, 0 AS d FROM goal UNION SELECT l.src, n.d + 1 FROM near n JOIN lk l ON l.dst = n.id WHERE n.d < 6), far AS (SELECT id, min(d) AS d FROM near GROUP BY id),
+paths AS (SELECT spec || '#' || anchor AS source, [spec || '#' || anchor] AS way, CAST([] AS STRUCT(o INT, i BIGINT)[]) AS via FROM sec
+  UNION ALL SELECT p.source, list_append(p.way, l.dst), list_append(p.via, {'o': l.ord, 'i': l.id}) FROM paths p JOIN lk l ON l.src = p.way[-1] JOIN far f ON f.id = l.dst AND len(p.way) + f.d <= 6 WHERE NOT list_contains(p.way, l.dst))
+SELECT source, way[-1] AS target, row_number() OVER (PARTITION BY source, way[-1] ORDER BY len(via), via) AS path_no, len(via) AS hops, array_to_string(way, ' > ') AS way, array_to_string(list_transform(via, lambda v: v.i), ' ') AS via
+FROM paths WHERE len(way) > 1 AND way[-1] IN (SELECT id FROM goal)""",
     "dependency_closure": _REC
     + """, d AS (SELECT DISTINCT spec, t_spec FROM cref WHERE spec <> t_spec), walk AS (SELECT spec AS root, spec AS id, 0 AS depth FROM cur UNION SELECT root, t_spec, depth + 1 FROM walk JOIN d ON d.spec = id WHERE depth < 40)
 SELECT root, id, min(depth) AS depth FROM walk GROUP BY ALL""",
-    "effect_calls": _CORPUS + _CALLS + "SELECT src, dst, relation, exec FROM calls",
-    "effect_occurrences": _rules_sql("""
-, m AS (SELECT node, step_path, text, kind, params, max(known) AS known, list_sort(list_distinct(list(rule))) AS rules FROM raw GROUP BY ALL),
-b AS (SELECT *, max(known) OVER w AS best, list_sort(list_distinct(flatten(list(rules) OVER w))) AS every FROM m WINDOW w AS (PARTITION BY node, step_path, text, kind))
-SELECT node, step_path, kind, params, array_to_string(CASE WHEN best > 0 THEN every ELSE rules END, ',') AS rules FROM b WHERE NOT (known = 0 AND best > 0)"""),
-    "effect_states": _rules_sql(
-        _CALLS
-        + """, go AS (SELECT DISTINCT src, dst, exec FROM calls WHERE relation <> 'mention'),
-walk AS (SELECT DISTINCT node, kind AS effect, 0 AS exec, 0 AS distance FROM raw UNION SELECT g.src, w.effect, greatest(g.exec, w.exec), w.distance + 1 FROM walk w JOIN go g ON g.dst = w.node WHERE w.distance < 60)
-SELECT node, effect, exec, min(distance) AS distance FROM walk GROUP BY ALL"""
+    "effect_calls": _CORPUS + _CALLS + "SELECT DISTINCT src, dst, relation, exec FROM calls",
+    "effect_issues": _CORPUS
+    + f"""SELECT DISTINCT node, code FROM (SELECT c.spec || '#' || from_anchor AS node, CASE WHEN t_spec NOT IN (SELECT spec FROM cur) THEN 'missing_spec' WHEN s.anchor IS NULL THEN 'missing_anchor' WHEN s.section_type = 'algorithm' AND NOT {_CALLED} THEN 'unresolved_invocation' END AS code
+FROM cref c LEFT JOIN sec s ON s.spec = c.t_spec AND s.anchor = c.t_anchor WHERE c.kind = 'step') WHERE code IS NOT NULL""",
+    "effect_occurrences": _rules_sql(" SELECT node, step_path, kind, params, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM hits GROUP BY ALL"),
+    "effect_states": _rules_sql(_STATES + " SELECT node, kind, params, exec, min(distance) AS distance FROM walk GROUP BY ALL"),
+    "effect_summaries": _rules_sql(
+        _STATES
+        + """, least_ AS (SELECT node, kind, params, exec, min(distance) AS distance FROM walk GROUP BY ALL),
+s AS (SELECT node, kind, params, string_agg(DISTINCT CASE exec WHEN 0 THEN 'inline' WHEN 1 THEN 'unknown' ELSE 'separate' END, ',' ORDER BY CASE exec WHEN 0 THEN 'inline' WHEN 1 THEN 'unknown' ELSE 'separate' END) AS unordered, list_sort(list(DISTINCT exec)) AS xs, min(distance) AS distance FROM least_ GROUP BY ALL),
+n AS (SELECT node, kind, params, count(DISTINCT step_path) AS local_sites FROM hits GROUP BY ALL),
+r AS (SELECT s.node, s.kind, CASE WHEN s.kind IN ('scheduling.enqueue', 'scheduling.parallel', 'scheduling.promise-continuation') THEN 0 WHEN s.kind IN ('script.invoke', 'script.opportunity') THEN 1 WHEN s.kind IN ('event.fire', 'event.dispatch') THEN 2 ELSE 3 END AS category_rank,
+  s.params, array_to_string(list_transform(xs, lambda x: ['inline', 'unknown', 'separate'][x + 1]), ',') AS executions, coalesce(local_sites, 0) AS local_sites, distance FROM s LEFT JOIN n USING (node, kind, params)),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY category_rank, kind, params) AS effect_no, greatest(count(*) OVER (PARTITION BY node) - 12, 0) AS omitted FROM r)
+SELECT * FROM o WHERE effect_no <= 12"""
     ),
     "state_types": _REC
     + r""", f AS (SELECT lower(trim(owner)) AS ok, lower(trim(name)) AS fk, name, kind, spec, anchor FROM idl WHERE owner IS NOT NULL)
 SELECT ok AS root, arg_min(name, (spec, anchor, kind, name)) AS name, ok AS owner_key, 0 AS depth, arg_min(kind, (spec, anchor, kind, name)) AS kind, 0 AS inherited FROM f GROUP BY ok, fk""",
     "checks_due": "SELECT spec_id, CAST(last_checked IS NULL OR last_checked < (SELECT max(last_checked) FROM update_checks) - INTERVAL 24 HOUR OR index_version IS DISTINCT FROM '8' AS int) AS is_due FROM update_checks",
+    **{k: _REC + v for k, v in SQL_PARTS.items()},
 }
