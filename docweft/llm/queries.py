@@ -11,6 +11,7 @@ from docweft.llm.packing import pack_documents
 from docweft.llm.pages import shared_lines
 from docweft.llm.repetition import repetition_profile, repetitive_documents
 from docweft.llm.splitting import split_oversized
+from docweft.operators.runtime import join_dim
 from docweft.sources.tables import Tables
 
 
@@ -35,7 +36,7 @@ def p3_shared(spark: SparkSession, path: str) -> DataFrame:
     """Page differencing: the lines each section shares with the nearest section before it, by address, in its delivery."""
     t = Tables(spark, path)
     base = t.snapshots.join(t.specs.select(F.col("id").alias("spec_id"), "base_url"), "spec_id").select(F.col("id").alias("snapshot_id"), "base_url").groupBy("snapshot_id").agg(F.min("base_url").alias("base_url"))
-    pages = t.sections.select("id", "snapshot_id", "anchor", "content_text", "ord").join(F.broadcast(base) if base.limit(400_001).count() <= 400_000 else base, "snapshot_id")
+    pages = join_dim(t.sections.select("id", "snapshot_id", "anchor", "content_text", "ord"), base, "snapshot_id")
     host = F.concat_ws(" ", F.parse_url("base_url", F.lit("HOST")), "snapshot_id")
     return shared_lines(pages, "id", host, F.concat(F.parse_url("base_url", F.lit("PATH")), F.lit("#"), "anchor"), "content_text", ["ord", "id"]).select(F.col("id").alias("section_id"), "n_lines", "n_shared")
 

@@ -26,7 +26,8 @@ def lcs(a, b):
 def test_common_lines_are_longest(seed):
     r = random.Random(seed)
     a, b = ([r.choice(["x", "y ", "z", "", " u"]) for _ in range(r.randrange(14))] for _ in range(2))
-    same = pages.common_lines(a, b)
+    blank = lambda v: [x.strip() or None for x in v]
+    same = pages.common_lines(blank(a), blank(b))
     fold = lambda v: [x.strip() for x in v if x.strip()]
     kept = [x.strip() for x, s in zip(b, same) if s]
     assert sum(same) == lcs(fold(a), fold(b)) and all(kept)
@@ -40,7 +41,9 @@ def test_shared_lines_over_partitions(spark):
     got = {x.id: x for x in pages.shared_lines(df, "id", F.col("host"), F.col("path"), "body", ["id"]).collect()}
     assert set(got) == {*range(60), 97}
     assert {i for i, x in got.items() if x.n_shared == 0} == {0, 1, 2, 97}
-    assert got[3].kept_text == "body 3\n" and got[3].n_lines == 3 and got[3].n_shared == 2
+    assert got[3].shared == [0, 3] and got[3].n_lines == 3 and got[3].n_shared == 2
+    left = {x.id: x.body for x in pages.without_shared(df, pages.shared_lines(df, "id", F.col("host"), F.col("path"), "body", ["id"]), "id", "body").collect()}
+    assert left[3] == "body 3\n" and left[0] == "menu\nbody 0\n\nfoot" and left[98] is None and left[97] == "" and len(left) == 63
     assert pages.shared_lines(df.limit(0), "id", F.col("host"), F.col("path"), "body", ["id"]).count() == 0
 
 
