@@ -25,9 +25,16 @@ class ApiError(Exception):
         self.code, self.details = code, details
 
 
+#: An answer of more rows is refused instead of being gathered at the driver.
+ANSWER_ROWS = 100_000
+
+
 def _rows(df: DataFrame, *order: str) -> list[dict]:
-    """The rows of an answer; requests are limited or about one section."""
-    return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).collect()]
+    """The rows of an answer, at most ANSWER_ROWS; whole tables are the operators' work, not a request's."""
+    got = (df.orderBy(*order) if order else df).limit(ANSWER_ROWS + 1).collect()
+    if len(got) > ANSWER_ROWS:
+        raise ApiError("answer_too_large", f"the answer has more than {ANSWER_ROWS} rows")
+    return [r.asDict(recursive=True) for r in got]
 
 
 class Service:
@@ -59,6 +66,7 @@ class Service:
     def query(self, target: str):
         spec, anchor, here = self._section(target)
         view = _rows(lookup.section_views(self.corpus, with_text=True).join(here, ["spec", "anchor"], "left_semi"))[0]
+        view["references"] = _rows(lookup.reference_lists(self.corpus).join(here, ["spec", "anchor"], "left_semi"), "direction")
         view["outgoing"] = _rows(self.corpus.edges.join(here, ["spec", "anchor"], "left_semi").select("to_spec", "to_anchor", "ord"), "ord", "to_spec", "to_anchor")
         return view
 
@@ -98,7 +106,7 @@ class Service:
             nodes, links = graph.neighbourhoods(graph.node_edges(self.corpus), roots, direction, max_depth, max_nodes, include, exclude, same_spec_only)
         except ValueError as e:
             raise ApiError("invalid_request", str(e)) from e
-        return {"nodes": _rows(nodes, "id"), "edges": _rows(links, "src", "dst")}
+        return {"nodes": _rows(graph.with_metadata(nodes, self.corpus), "id"), "edges": _rows(links, "src", "dst")}
 
     def trace(self, source: str, target: str, max_depth: int = LIMITS["trace_depth"], kind: str | None = None, max_traces: int = LIMITS["traces"]):
         a, b = ("#".join(self._target(x)) for x in (source, target))
@@ -121,8 +129,9 @@ class Service:
     def effects_paths(self, target: str, effect_id: str):
         spec, anchor, _ = self._section(target)
         e = effects.Effects(self.corpus, steps_of(self.corpus))
-        wanted = self.spark.createDataFrame([(f"{spec}#{anchor}", effect_id)], "node string, effect string")
-        return _rows(effects.witnesses(e.states(), wanted))
+        states = e.states()
+        wanted = states.filter((F.col("node") == f"{spec}#{anchor}") & F.startswith("effect", F.lit(effect_id))).select("node", "effect")
+        return _rows(effects.witnesses(states, wanted))
 
     def state(self, selector: str):
         views = state.field_views(state.sites(steps_of(self.corpus)))

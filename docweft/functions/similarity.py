@@ -36,10 +36,10 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
 
 
 def normal_step(text: str) -> str:
-    """A step's words: without Markdown signs and outer punctuation, lower case, blanks folded."""
+    """A step's words: without Markdown signs, blanks folded, lower case, without the stops at its end."""
     t = re.sub(r"\[([^\[\]]*)\]\([^()]*\)", r"\1", text)
     t = re.sub(r"[*_`]", "", t)
-    return " ".join(t.split()).strip(" .:;,").lower()
+    return " ".join(t.split()).lower().rstrip(".,:;!?")
 
 
 def classify(comment: str, step: str, threshold: float = 0.85) -> str:
@@ -47,7 +47,9 @@ def classify(comment: str, step: str, threshold: float = 0.85) -> str:
     a, b = normal_step(comment), normal_step(step)
     if not a or a == b:
         return "exact"
-    if b.startswith(a) or a in b or b and b in a:
+    if not b:
+        return "mismatch"
+    if a in b or b in a:
         return "fuzzy"
     return "fuzzy" if jaro_winkler(a, b) >= threshold else "mismatch"
 

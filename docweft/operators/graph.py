@@ -239,3 +239,30 @@ def dot(nodes: DataFrame, links: DataFrame, by: str = "root") -> DataFrame:
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     lines = nodes.select(by, F.lit(0).alias("_k"), F.concat(F.lit("  "), quote(F.col("id")), F.lit(";")).alias("_line")).unionByName(links.select(by, F.lit(1).alias("_k"), F.concat(F.lit("  "), quote(F.col("src")), F.lit(" -> "), quote(F.col("dst")), F.lit(";")).alias("_line")))
     return lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_k", "_line"))).alias("_l")).select(by, F.concat(F.lit("digraph g {\n"), F.array_join("_l._line", "\n"), F.lit("\n}")).alias("diagram"))
+
+
+def with_metadata(nodes: DataFrame, corpus: Corpus) -> DataFrame:
+    """Nodes with title and section_type of their section in the current corpus, null where it has none."""
+    known = corpus.sections.select(node().alias("id"), "title", "section_type")
+    return nodes.join(known, "id", "left").select(*nodes.columns, "title", "section_type")
+
+
+def trace_hops(traces_: DataFrame, refs: DataFrame) -> DataFrame:
+    """The links of each trace in order: source, target, path_no, hop_no, src, dst, kind, step_path, step_text.
+
+    refs: id, kind, step_path, step_text. ``edges`` detail is src and dst, ``compact`` adds kind and step_path, ``verbose``
+    is all.
+    """
+    each = traces_.select("source", "target", "path_no", "path", F.posexplode("via").alias("_i", "id"))
+    r = refs.select("id", "kind", "step_path", "step_text")
+    return each.join(r, "id", "left").select("source", "target", "path_no", (F.col("_i") + 1).alias("hop_no"), F.get("path", F.col("_i")).alias("src"), F.get("path", F.col("_i") + 1).alias("dst"), "kind", "step_path", "step_text")
+
+
+def flow_mermaid(rows: DataFrame) -> DataFrame:
+    """One flowchart text per algorithm of flow_graphs: spec, anchor, diagram. Branches are diamonds, ends are rounded."""
+    name = lambda c: F.concat(F.lit("n"), F.hex(F.xxhash64(c)))
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", "id"), F.lit('"'), F.lit("'")), F.lit('"'))
+    box = F.when(F.col("kind") == "branch", F.concat(F.lit("{"), quoted, F.lit("}"))).when(F.col("kind") == "terminal", F.concat(F.lit("(["), quoted, F.lit("])"))).otherwise(F.concat(F.lit("["), quoted, F.lit("]")))
+    line = F.when(F.col("item") == "node", F.concat(F.lit("  "), name(F.col("id")), box)).when(F.col("item") == "edge", F.concat(F.lit("  "), name(F.col("id")), F.lit(" -->|"), F.col("kind"), F.lit("| "), name(F.col("target"))))
+    lines = rows.select("spec", "anchor", F.when(F.col("item") == "node", 0).otherwise(1).alias("_k"), "no", line.alias("_line")).filter("_line is not null")
+    return lines.groupBy("spec", "anchor").agg(F.array_sort(F.collect_list(F.struct("_k", "no", "_line"))).alias("_l")).select("spec", "anchor", F.concat(F.lit("flowchart TD\n"), F.array_join("_l._line", "\n")).alias("diagram"))

@@ -309,3 +309,27 @@ def contents(corpus: Corpus, links: str = "short", asides: bool = False) -> Data
         return texts.map(lambda t: transform_content(t, links, asides), na_action="ignore")
 
     return corpus.sections.select("spec", "anchor", reshape("content_text").alias("content"))
+
+
+#: From so many references on, a section's view tells their number and the request that lists them. Fixed value.
+REFS_LISTED_BELOW = 5
+
+
+def reference_lists(corpus: Corpus) -> DataFrame:
+    """Per section and direction: spec, anchor, direction, total, items (``spec#anchor`` in order, if there are fewer than
+    REFS_LISTED_BELOW) or command (the request for the whole list).
+
+    Outgoing ones are ordered by their place, incoming ones by spec and anchor. Ranks are limited where they are computed,
+    so a section with very many references gathers only the few that can be shown.
+    """
+    e = corpus.edges
+    name = lambda s, a: F.concat(F.col(s), F.lit("#"), F.col(a))
+    out = e.select("spec", "anchor", F.lit("outgoing").alias("direction"), F.struct(F.lit("").alias("s"), F.lit("").alias("a"), "ord", "id").alias("o"), name("to_spec", "to_anchor").alias("item"))
+    back = e.select(F.col("to_spec").alias("spec"), F.col("to_anchor").alias("anchor"), F.lit("incoming").alias("direction"), F.struct(F.col("spec").alias("s"), F.col("anchor").alias("a"), "ord", "id").alias("o"), name("spec", "anchor").alias("item"))
+    both = out.unionByName(back)
+    key = ["spec", "anchor", "direction"]
+    total = both.groupBy(*key).agg(F.count("*").alias("total"))
+    w = Window.partitionBy(*key).orderBy("o", "item")
+    few = both.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") < REFS_LISTED_BELOW).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "item"))), lambda x: x["item"]), " ").alias("items"))
+    small = F.col("total") < REFS_LISTED_BELOW
+    return total.join(few, key).select(*key, "total", F.when(small, F.col("items")).alias("items"), F.when(~small, F.concat(F.lit("refs "), "spec", F.lit("#"), "anchor", F.lit(" --direction "), "direction")).alias("command"))

@@ -44,7 +44,7 @@ def postings(docs: DataFrame, key: list[str], fields: tuple[str, ...] = FIELDS)
 
 # ---- queries -------------------------------------------------------------------------------------------------------
 
-_LEX = re.compile(r'\s*(?:(?P<col>\w+)\s*:|"(?P<phrase>(?:[^"]|"")*)"(?P<pstar>\s*\*)?|(?P<op>AND|OR|NOT)(?=[\s("]|$)|(?P<word>[\w]+)(?P<star>\*)?|(?P<par>[()+^]))')
+_LEX = re.compile(r'\s*(?:(?P<near>NEAR)\s*(?=\()|(?P<col>\w+)\s*:|"(?P<phrase>(?:[^"]|"")*)"(?P<pstar>\s*\*)?|(?P<op>AND|OR|NOT)(?=[\s("]|$)|(?P<word>[\w]+)(?P<star>\*)?|(?P<par>[()+^,]))')
 
 
 class QueryError(ValueError):
@@ -52,9 +52,11 @@ class QueryError(ValueError):
 
 
 def parse_query(query: str) -> tuple:
-    """A query as nested tuples: ("and" | "or" | "not", a, b) or ("term", column, (words...), prefix).
+    """A query as nested tuples: ("and" | "or" | "not", a, b), ("term", column, (words...), prefix), with True behind it if it must come first, or
+    ("near", column, ((words, prefix), ...), distance).
 
-    Grammar: words, "phrases", prefixes (word*), column filters (title: word), AND (also implied), OR, NOT, parentheses.
+    Grammar: words, "phrases", prefixes (word*), phrases put together (a + b), the first word of a column (^word),
+    NEAR(a b, 10), column filters (title: word), AND (also implied), OR, NOT, parentheses.
     """
     items, at = [], 0
     query = query.rstrip()
@@ -108,13 +110,40 @@ def parse_query(query: str) -> tuple:
                 raise QueryError(f"no such column: {column}")
             i += 1
             x = items[i] if i < len(items) else {}
-        if "phrase" in x:
-            got, prefix = words(x["phrase"]), "pstar" in x
-        elif "word" in x:
-            got, prefix = words(x["word"]), "star" in x
-        else:
+        if "near" in x:
+            return near(i + 1, column)
+        first = x.get("par") == "^"
+        if first:
+            i += 1
+        got, prefix, i = phrase(i)
+        return ("term", column, got, prefix, *([True] if first else [])), i
+
+    def phrase(i: int):
+        """A word or phrase, with what + puts behind it."""
+        x = items[i] if i < len(items) else {}
+        if "phrase" not in x and "word" not in x:
             raise QueryError("a word was expected")
-        return ("term", column, got, prefix), i + 1
+        got, prefix = words(x.get("phrase", x.get("word"))), "pstar" in x or "star" in x
+        if i + 1 < len(items) and items[i + 1].get("par") == "+":
+            more, prefix, i = phrase(i + 2)
+            return got + more, prefix, i
+        return got, prefix, i + 1
+
+    def near(i: int, column: str | None):
+        parts, distance = [], 10
+        i += 1
+        while i < len(items) and items[i].get("par") not in (")", ","):
+            got, prefix, i = phrase(i)
+            parts.append((got, prefix))
+        if i < len(items) and items[i].get("par") == ",":
+            number = items[i + 1].get("word", "") if i + 1 < len(items) else ""
+            if not number.isdigit():
+                raise QueryError("NEAR wants a number")
+            distance, i = int(number), i + 2
+        if i >= len(items) or items[i].get("par") != ")" or not parts:
+            raise QueryError("NEAR is open")
+        parts = [p for p in parts if p[0]]
+        return (("near", column, tuple(parts), distance) if len(parts) > 1 else ("term", column, *(parts[0] if parts else ((), False)))), i + 1
 
     if not items:
         raise QueryError("the query is empty")
@@ -138,17 +167,17 @@ def _tree(query: str) -> tuple | None:
 
 
 def _leaves(tree: tuple) -> list[tuple]:
-    return [tree] if tree[0] == "term" else [x for t in tree[1:] for x in _leaves(t)]
+    return [tree] if tree[0] in ("term", "near") else [x for t in tree[1:] for x in _leaves(t)]
 
 
-def _phrase_hits(ts: Column, words: tuple[str, ...], prefix: bool) -> Column:
-    """How often the words stand in a row in an array of tokens."""
+def _starts(ts: Column, words: tuple[str, ...], prefix: bool) -> Column:
+    """The places at which the words stand in a row in an array of tokens."""
     last = len(words) - 1
     if not words:
-        return F.lit(0)
+        return F.expr("cast(array() as array<int>)")
     start = F.filter(F.transform(ts, lambda t, i: F.when((F.startswith(t, F.lit(words[0]))) if prefix and last == 0 else (t == words[0]), i)), lambda i: i.isNotNull())
     if last == 0:
-        return F.size(start)
+        return start
 
     def goes_on(i: Column) -> Column:
         cond = F.lit(True)
@@ -157,7 +186,31 @@ def _phrase_hits(ts: Column, words: tuple[str, ...], prefix: bool) -> Column:
             cond = cond & F.coalesce(F.startswith(t, F.lit(words[k])) if prefix and k == last else (t == words[k]), F.lit(False))
         return cond
 
-    return F.size(F.filter(start, goes_on))
+    return F.filter(start, goes_on)
+
+
+def _hits(ts: Column, leaf: tuple) -> Column:
+    """How often a leaf of a query is met in an array of tokens. Phrases are near if at most so many tokens lie between
+    the end of the first and the start of the last; then the first phrase's places that begin such a stretch count."""
+    if leaf[0] == "term":
+        at = _starts(ts, leaf[2], leaf[3])
+        return F.size(F.filter(at, lambda i: i == 0)) if len(leaf) > 4 else F.size(at)
+    _, _, parts, distance = leaf
+
+    def reaches(others: list[Column], reach: int):
+        def all_near(s: Column) -> Column:
+            cond = F.lit(True)
+            for other in others:
+                cond = cond & F.exists(other, lambda t: (t >= s) & (t <= s + reach))
+            return cond
+
+        return all_near
+
+    total = F.lit(0)
+    for k, (words, prefix) in enumerate(parts):
+        others = [_starts(ts, *p) for j, p in enumerate(parts) if j != k]
+        total = total + F.size(F.filter(_starts(ts, words, prefix), reaches(others, len(words) + distance)))
+    return total
 
 
 def search(corpus: Corpus, queries: list[str], spec: str | None = None, limit: int = 20, with_snippet: bool = False) -> DataFrame:
@@ -177,11 +230,10 @@ def search(corpus: Corpus, queries: list[str], spec: str | None = None, limit: i
     number = {x: i for i, x in enumerate(terms)}
     tok = s.select("spec", "anchor", "title", "section_type", "ord", "content_text", *[tokens(F.col(f)).alias(f"_{f}") for f in FIELDS])
     hits = []
-    for _, column, words, prefix in terms:
-        fields = [column] if column else list(FIELDS)
+    for leaf in terms:
         n = F.lit(0)
-        for f in fields:
-            n = n + _phrase_hits(F.col(f"_{f}"), words, prefix)
+        for f in [leaf[1]] if leaf[1] else FIELDS:
+            n = n + _hits(F.col(f"_{f}"), leaf)
         hits.append(n)
     counted = tok.select("spec", "anchor", "title", "section_type", "ord", *(["content_text"] if with_snippet else []), sum((F.size(f"_{f}") for f in FIELDS[1:]), F.size(f"_{FIELDS[0]}")).alias("_len"), F.array(*hits).alias("_tf"))
     stats = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])  # one row
@@ -192,13 +244,13 @@ def search(corpus: Corpus, queries: list[str], spec: str | None = None, limit: i
     idf = [max(LEAST_IDF, math.log((n - first[f"df{i}"] + 0.5) / (first[f"df{i}"] + 0.5))) if n else LEAST_IDF for i in range(len(terms))]
 
     def holds(tree: tuple) -> Column:
-        if tree[0] == "term":
+        if tree[0] in ("term", "near"):
             return F.col("_tf")[number[tree]] > 0 if tree[2] else F.lit(True)
         a, b = holds(tree[1]), holds(tree[2])
         return a & b if tree[0] == "and" else a | b if tree[0] == "or" else a & ~b
 
     def scoring(tree: tuple) -> list[tuple]:
-        return [tree] if tree[0] == "term" else scoring(tree[1]) + (scoring(tree[2]) if tree[0] != "not" else [])
+        return [tree] if tree[0] in ("term", "near") else scoring(tree[1]) + (scoring(tree[2]) if tree[0] != "not" else [])
 
     def score(tree: tuple) -> Column:
         total = F.lit(0.0)
@@ -216,7 +268,8 @@ def search(corpus: Corpus, queries: list[str], spec: str | None = None, limit: i
     out = ["query_no", "rank_no", "spec", "anchor", "title", "section_type", "score"]
     if not with_snippet:
         return top.select(*out)
-    wanted = {i: [(x[2], x[3]) for x in scoring(t) if x[2] and x[1] in (None, "content_text")] for i, t in trees.items()}
+    marked = lambda x: [(x[2], x[3])] if x[0] == "term" else list(x[2])
+    wanted = {i: [p for x in scoring(t) if x[2] and x[1] in (None, "content_text") for p in marked(x)] for i, t in trees.items()}
 
     def snippets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

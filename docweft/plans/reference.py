@@ -14,6 +14,7 @@ from docweft.operators import state as S
 from docweft.operators.corpus import Corpus, node
 from docweft.operators.flow import flow_graphs, steps_of
 from docweft.operators.search import search
+from docweft.operators.selectors import idl_members, resolve_selectors
 from docweft.plans.general import _FULL, _TARGET
 from docweft.plans.steps_sql import SQL_PARTS, STEPS
 from docweft.sources.tables import Tables
@@ -156,6 +157,26 @@ def graph_neighbourhood(spark, path):
     return G.neighbourhoods(G.node_edges(c), _algorithms(c), "outgoing", 2, None)[0].select("root", "id", "depth")
 
 
+def graph_nodes(spark, path):
+    c = _corpus(spark, path)
+    return G.with_metadata(graph_neighbourhood(spark, path), c)
+
+
+def query_refs(spark, path):
+    return L.reference_lists(_corpus(spark, path))
+
+
+def members_declared(spark, path):
+    return idl_members(_corpus(spark, path)).distinct()
+
+
+SELECTORS = ["Segment", "segment", "StagedDigest.publish", "Realm.*", "mesh-grid-301#sec-*", "MESH-GRID-301#no-such", "", "a#b#c", "NoSuchType", "NoSuchType.x"]
+
+
+def state_selectors(spark, path):
+    return resolve_selectors(_corpus(spark, path), spark.createDataFrame(list(enumerate(SELECTORS)), "selector_no int, selector string"))
+
+
 def graph_capped(spark, path):
     c = _corpus(spark, path)
     return G.neighbourhoods(G.node_edges(c), _algorithms(c), "both", 2, 40, include=["*#sec-*", "*#concept-*"], exclude=["re:map$"])[0]
@@ -281,7 +302,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         specs_list, section_views, children, list_headings, section_tree, target_exists, anchors_glob, idl_lookup, refs_shorthand, refs_outgoing, refs_incoming, distinct_links, algorithm_calls, spec_dependencies, pr_pages, unindexed_specs, call_sites, callers, contents_short, call_bindings, state_unlinked, pr_overlay, pr_diff, section_diff,
-        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_issues, effect_summaries,
+        ref_group_diff, upsert_last_index, same_documents, search_bm25, graph_neighbourhood, graph_nodes, query_refs, members_declared, state_selectors, graph_capped, graph_distances, trace_paths, dependency_closure, flow_all, statements, effect_calls, effect_occurrences, effect_states, effect_issues, effect_summaries,
         state_fields, state_members, state_counts, state_types, algorithm_views, slices_forward, slices_backward, omitted_runs, source_addresses, step_drift, checks_due,
     )
 }
@@ -463,6 +484,32 @@ UNION ALL SELECT spec_id, epoch_us(last_indexed), index_version FROM update_chec
 SELECT md5(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')), '\]\([^)#]*#', '](#', 'g')) AS digest, count(*) AS n_rows, min(doc_id) AS first_key FROM documents GROUP BY 1""",
     "search_bm25": _search_sql(),
     "graph_neighbourhood": _REC + "," + _NEAR.format(to="dst", at="src", most=2) + " SELECT root, id, min(depth) AS depth FROM walk GROUP BY ALL",
+    "graph_nodes": _REC + "," + _NEAR.format(to="dst", at="src", most=2) + " SELECT w.*, s.title, s.section_type FROM (SELECT root, id, min(depth) AS depth FROM walk GROUP BY ALL) w LEFT JOIN sec s ON s.spec || '#' || s.anchor = w.id",
+    "query_refs": _CORPUS
+    + """, b AS (SELECT spec, anchor, 'outgoing' AS direction, '' AS s, '' AS a, e.ord AS o, (SELECT min(id) FROM cref c WHERE c.spec = e.spec AND c.from_anchor = e.anchor AND c.t_spec = e.to_spec AND c.t_anchor = e.to_anchor AND c.ord = e.ord) AS i, dst AS item FROM edge e
+UNION ALL SELECT to_spec, to_anchor, 'incoming', spec, anchor, 0, 0, src FROM edge)
+SELECT spec, anchor, direction, count(*) AS total, CASE WHEN count(*) < 5 THEN string_agg(item, ' ' ORDER BY s, a, o, i, item) END AS items, CASE WHEN count(*) >= 5 THEN 'refs ' || spec || '#' || anchor || ' --direction ' || direction END AS command FROM b GROUP BY spec, anchor, direction""",
+    "members_declared": _CORPUS
+    + r""", t AS (SELECT spec, anchor, lower(regexp_extract(idl_text, '(?:interface|dictionary)\s+(?:mixin\s+)?(\w+)', 1)) AS owner_key, trim(unnest(string_split(regexp_extract(idl_text, '\{((?s:.*))\}', 1), E'\n'))) AS line FROM idl WHERE idl_text IS NOT NULL)
+SELECT DISTINCT spec, anchor, owner_key, lower(regexp_extract(line, '(\w+)\s*(?:\(.*\))?\s*;$', 1)) AS field_key, CASE WHEN contains(line, '(') THEN 'method' ELSE 'attribute' END AS kind,
+ trim(regexp_extract(regexp_replace(line, '^(readonly\s+)?(attribute\s+)?', ''), '^(.*?)\s*\w+\s*(?:\(.*\))?\s*;$', 1)) AS type,
+ CASE WHEN NOT contains(line, '(') OR regexp_matches(line, '\(\s*\)') THEN 0 ELSE len(string_split(regexp_replace(regexp_extract(line, '\((.*)\)', 1), '<[^<>]*>|\{[^{}]*\}', '', 'g'), ',')) END AS n_args
+FROM t WHERE line LIKE '%;' AND owner_key <> ''""",
+    "state_selectors": _CORPUS
+    + r""", ty AS (SELECT DISTINCT spec, anchor, name FROM idl WHERE owner IS NULL AND name IS NOT NULL), me AS (SELECT lower(owner) AS o, lower(name) AS m, spec, anchor FROM idl WHERE owner IS NOT NULL AND name IS NOT NULL),
+h AS (SELECT 0 AS n, spec, anchor FROM ty WHERE CASE WHEN EXISTS (SELECT 1 FROM ty WHERE name = 'Segment') THEN name = 'Segment' ELSE lower(name) = 'segment' END
+ UNION ALL SELECT 1, spec, anchor FROM ty WHERE CASE WHEN EXISTS (SELECT 1 FROM ty WHERE name = 'segment') THEN name = 'segment' ELSE lower(name) = 'segment' END
+ UNION ALL SELECT 2, spec, anchor FROM me WHERE o = 'stageddigest' AND m = 'publish' UNION ALL SELECT 3, spec, anchor FROM me WHERE o = 'realm'
+ UNION ALL SELECT 4, spec, anchor FROM sec WHERE lower(spec) = 'mesh-grid-301' AND starts_with(lower(anchor), 'sec-') UNION ALL SELECT 5, spec, anchor FROM sec WHERE lower(spec) = 'mesh-grid-301' AND anchor = 'no-such'),
+k AS (SELECT * FROM (VALUES (0, 'type'), (1, 'type'), (2, 'field'), (3, 'type_glob'), (4, 'spec_glob'), (5, 'anchor'), (6, 'invalid'), (7, 'invalid'), (8, 'type'), (9, 'field')) v(n, kind)),
+c AS (SELECT k.n, kind, count(h.n) AS m, min((spec, anchor)) AS f FROM k LEFT JOIN h USING (n) GROUP BY ALL)
+SELECT n AS selector_no, kind, CASE WHEN kind = 'invalid' THEN 'invalid' WHEN m = 0 THEN 'not_found' WHEN kind LIKE '%glob' THEN 'list' WHEN m > 1 THEN 'ambiguous' ELSE kind END AS answer, m AS n_matches,
+ CASE WHEN m = 1 AND kind NOT LIKE '%glob' THEN f[1] END AS spec, CASE WHEN m = 1 AND kind NOT LIKE '%glob' THEN f[2] END AS anchor FROM c""",
+    "state_unlinked": _REC
+    + SQL_PARTS["statements"].rsplit(" SELECT spec, anchor, step_no", 1)[0]
+    + r""", nm AS (SELECT DISTINCT canonical_name AS field, trim(lower(replace(name, '`', ''))) AS n FROM idl WHERE owner IS NOT NULL AND name IS NOT NULL AND canonical_name IS NOT NULL),
+op AS (SELECT node, step_path, trim(lower(replace(text, '`', ''))) AS low, list_transform(reads, lambda r: lower(r)) AS ls FROM st WHERE kind = 'opaque')
+SELECT DISTINCT field, node, step_path FROM op JOIN nm ON contains(low, n) AND regexp_matches(low, '(^|[^\p{L}\p{N}_])' || regexp_escape(n) || '([^\p{L}\p{N}_]|$)') WHERE n <> '' AND NOT list_contains(ls, n) AND NOT list_contains(ls, lower(field))""",
     "graph_distances": _REC + "," + _NEAR.format(to="src", at="dst", most=3) + " SELECT root AS target, id, min(depth) AS distance FROM walk GROUP BY ALL",
     "trace_paths": _REC
     + """, lk AS (SELECT spec || '#' || from_anchor AS src, t_spec || '#' || t_anchor AS dst, ord, id FROM cref WHERE spec || '#' || from_anchor <> t_spec || '#' || t_anchor),

@@ -23,7 +23,7 @@ def test_traces(spark):
             assert [r.path_no for r in mine] == list(range(1, len(mine) + 1))
 
 
-def test_trace_paths_all(spark, tmp_path):
+def test_trace_paths(spark, tmp_path):
     r = random.Random(4)
     texts = {x: "1. Run it." for x in "abcdefgh"}
     chain = list(zip("abcdefg", "bcdefgh"))  # h lies 7 links from a
@@ -31,5 +31,5 @@ def test_trace_paths_all(spark, tmp_path):
     path = corpus(spark, str(tmp_path / "t"), texts, links)
     edges = [(f"S#{a}", f"S#{b}", i, i) for i, (a, b, _, _) in enumerate(links) if a != b]
     want = {(f"S#{a}", f"S#{b}", " ".join(map(str, via))) for a in texts for b in texts if a != b for via in all_paths(edges, f"S#{a}", f"S#{b}", 6)}
-    assert {(x.source, x.target, x.via) for x in entry.queries()["trace_paths_all"](spark, path).collect()} == want
+    assert {(x.source, x.target, x.via) for x in entry.queries()["trace_paths"](spark, path).collect()} == want
     assert {len(v.split()) for _, _, v in want} == set(range(1, 7))

@@ -54,12 +54,12 @@ def occurrences(texts):
 
 
 def eid(kind, params):
-    return "ef_" + hashlib.sha256(f"{kind}\0{params}".encode()).hexdigest()[:16]
+    return "ef_" + hashlib.sha256(f"{kind}\0{params}".encode()).hexdigest()
 
 
 def test_effects_of_all_steps(spark, small):
     want = occurrences(TEXTS)
-    assert {tuple(r) for r in entry.queries()["effect_occurrences_all"](spark, small).select("node", "step_path", "kind", "params", "rules").collect()} == want
+    assert {tuple(r) for r in entry.queries()["effect_occurrences"](spark, small).select("node", "step_path", "kind", "params", "rules").collect()} == want
     calls = {("S#a", "S#b", 0), ("S#b", "S#a", 0), ("S#b", "S#e", 0), ("S#d", "S#c", 2), ("S#d", "S#b", 1)}
     best = {(n, eid(k, p), 0): 0 for n, _, k, p, _ in want}
     for d in range(1, 20):
@@ -67,6 +67,6 @@ def test_effects_of_all_steps(spark, small):
             for (n, e, y), far in list(best.items()):
                 if n == b and far == d - 1:
                     best.setdefault((a, e, max(x, y)), d)
-    got = {(r.node, r.effect, r.exec): r.distance for r in entry.queries()["effect_states_all"](spark, small).collect()}
+    got = {(r.node, eid(r.kind, r.params), r.exec): r.distance for r in entry.queries()["effect_states"](spark, small).collect()}
     assert got == best
     assert len({e for _, e, _ in got}) > len({k for _, _, k, _, _ in want})
