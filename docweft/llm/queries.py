@@ -78,13 +78,15 @@ def p8_checks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p9_checks(spark: SparkSession, path: str) -> DataFrame:
-    """Per source: its documents with text, the repeats it may have, and whether these and its share are kept (to half a point)."""
+    """Per source: its documents, the repeats it may have, and whether these and its share are kept: to half a point, or, as
+    documents are drawn whole, to the size of its greatest document where that is more (as in the smallest tables)."""
     t = Tables(spark, path)
     draws, report = mix_sources(t.documents, t.mix_targets)
-    used = draws.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("repeats").alias("most"))
+    used = draws.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("repeats").alias("most"), F.max("n_tokens").alias("greatest"))
+    whole = report.agg(F.sum("expected_tokens")).scalar()
     there = report.filter("source is not null and available_tokens > 0")
     goal = F.col("target_share") / there.agg(F.sum("target_share")).scalar()
-    return there.join(used, "source").select("source", "n_documents", "max_repeats", (F.col("most") <= F.col("max_repeats")).cast("int").alias("repeats_kept"), (F.abs(F.col("expected_share") - goal) < 0.005).cast("int").alias("share_kept"))
+    return there.join(used, "source").select("source", "n_documents", "max_repeats", (F.col("most") <= F.col("max_repeats")).cast("int").alias("repeats_kept"), (F.abs(F.col("expected_share") - goal) * whole < F.greatest(0.005 * whole, F.col("greatest"))).cast("int").alias("share_kept"))
 
 
 def p9_draws(spark: SparkSession, path: str) -> DataFrame:
