@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweft.operators.corpus import Corpus, node
-from docweft.operators.runtime import cut
+from docweft.operators.runtime import cut, union
 
 
 def node_edges(corpus: Corpus) -> DataFrame:
@@ -35,6 +35,60 @@ def _matches(c: Column, include: list[str], exclude: list[str]) -> Column:
     return yes
 
 
+def _numbered(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, links): name, n, is_root of each node, with n in the order of names; links with their ends as numbers."""
+    links = edges.filter("src is not null and dst is not null")
+    ends = F.explode(F.array("src", "dst")).alias("name")
+    known = links.select(ends, F.lit(False).alias("is_root")).unionByName(roots.select(F.col("id").alias("name"), F.lit(True).alias("is_root")).filter("name is not null"))
+    names = cut(known.groupBy("name").agg(F.max("is_root").alias("is_root")).orderBy("name").select("name", F.monotonically_increasing_id().alias("n"), "is_root"), bare=True)
+    for end in ("src", "dst"):
+        links = links.join(names.select(F.col("name").alias(end), F.col("n").alias(f"_{end}")), end)
+    return names, cut(links.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "ord", "id"), bare=True)
+
+
+def _named(rows: DataFrame, names: DataFrame, *cols: str) -> DataFrame:
+    """The rows with names for the numbers in cols."""
+    for c in cols:
+        rows = rows.join(names.select(F.col("n").alias(c), F.col("name").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+    return rows
+
+
+def _first_links(links: DataFrame, direction: str, max_nodes: int | None) -> DataFrame:
+    """at, to, no: the nodes to which each node leads, numbered in the order of its links, outgoing before incoming.
+
+    With a cap only the first ``max_nodes`` + 1 of a node are kept. No root needs more: a node is admitted or shut out
+    only after all that stand before it are seen, and at most ``max_nodes`` ever are. Without a cap no is 1.
+    """
+    ways = []
+    if direction != "incoming":
+        ways.append(links.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.struct(F.lit(0).alias("way"), F.lit(0).cast("bigint").alias("from"), "ord", "id").alias("pos")))
+    if direction != "outgoing":
+        ways.append(links.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.struct(F.lit(1).alias("way"), F.col("src").alias("from"), "ord", "id").alias("pos")))
+    steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    if max_nodes is None:
+        return steps.select("at", "to", F.lit(1).alias("no"))
+    w = Window.partitionBy("at").orderBy("pos", "to")
+    first = steps.groupBy("at", "to").agg(F.min("pos").alias("pos")).withColumn("no", F.row_number().over(w))
+    return cut(first.filter(F.col("no") <= max_nodes + 1).select("at", "to", "no"), bare=True)
+
+
+def _links_within(seen: DataFrame, links: DataFrame, direction: str, max_depth: int) -> DataFrame:
+    """root, src, dst of the links between nodes that a root has seen, where the walk met them: from nodes above max_depth.
+
+    Each link is looked up from its end with fewer links, so a hub that many roots have seen is never opened.
+    """
+    pairs = links.select("src", "dst").distinct()
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("_links"))
+    for end in ("src", "dst"):
+        pairs = pairs.join(ends.select(F.col("n").alias(end), F.col("_links").alias(f"_{end}")), end)
+    out = F.struct("_src", "src") <= F.struct("_dst", "dst")
+    arcs = pairs.select(F.when(out, F.col("src")).otherwise(F.col("dst")).alias("lo"), F.when(out, F.col("dst")).otherwise(F.col("src")).alias("hi"), out.alias("out"))
+    lo, hi = seen.select("root", F.col("id").alias("lo"), F.col("depth").alias("_lo")), seen.select("root", F.col("id").alias("hi"), F.col("depth").alias("_hi"))
+    from_src, from_dst = F.when(F.col("out"), F.col("_lo")).otherwise(F.col("_hi")), F.when(F.col("out"), F.col("_hi")).otherwise(F.col("_lo"))
+    met = {"outgoing": from_src, "incoming": from_dst, "both": F.least("_lo", "_hi")}[direction] < max_depth
+    return lo.join(arcs, "lo").join(hi, ["root", "hi"]).filter(met).select("root", F.when(F.col("out"), F.col("lo")).otherwise(F.col("hi")).alias("src"), F.when(F.col("out"), F.col("hi")).otherwise(F.col("lo")).alias("dst"))
+
+
 def neighbourhoods(edges: DataFrame, roots: DataFrame, direction: str = "outgoing", max_depth: int = 2, max_nodes: int | None = 150, include: list[str] = (), exclude: list[str] = (), same_spec_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """The graph around each root: (nodes, links).
 
@@ -43,81 +97,77 @@ def neighbourhoods(edges: DataFrame, roots: DataFrame, direction: str = "outgoin
     of the link) until ``max_nodes`` stand; then truncated is true. With patterns, nodes that match (and the root) are
     kept together with the bridges on their shortest undirected paths to the root; of several predecessors the least id
     is the bridge. Roles: root, matched, bridge; null without patterns. ``same_spec_only`` keeps to the root's spec.
+    Links with a null end are left out.
 
-    One round per level for all roots together; each round joins the frontier with the links and is cut. ``max_nodes``
-    None sets no cap. A row_number over candidates is limited where it is computed, so a hub does not gather.
+    One round per level for all roots together, on numbers in place of names; each round joins the frontier with the
+    links and writes the nodes that are new. ``max_nodes`` None sets no cap. With a cap, each node brings only its first
+    ``max_nodes`` + 1 neighbours, so a hub in many frontiers costs no more than they.
     """
     if max_nodes is not None and max_nodes <= 0:
         raise ValueError("max_nodes must be greater than 0")
     if direction not in ("outgoing", "incoming", "both"):
         raise ValueError("direction is outgoing, incoming or both")
     spec_of = lambda c: F.substring_index(c, "#", 1)
-    ways = []
-    if direction != "incoming":
-        ways.append(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "src", "dst", F.struct(F.lit(0).alias("way"), F.lit("").alias("from"), F.col("ord").alias("ord"), F.col("id").alias("id")).alias("pos")))
-    if direction != "outgoing":
-        ways.append(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), "src", "dst", F.struct(F.lit(1).alias("way"), F.col("src").alias("from"), F.col("ord").alias("ord"), F.col("id").alias("id")).alias("pos")))
-    steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
-    seen = roots.select(F.col("id").alias("root")).filter("root is not null").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank"))
-    seen = cut(seen)
-    over = None
-    links = None
+    if same_spec_only:  # all that a root reaches is in its spec, so the links within specs are those within its own
+        edges = edges.filter(spec_of(F.col("src")) == spec_of(F.col("dst")))
+    names, numbered = _numbered(edges, roots)
+    steps = _first_links(numbered, direction, max_nodes)
+    parts = [cut(names.filter("is_root").select(F.col("n").alias("root"), F.col("n").alias("id"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("rank")), bare=True)]
+    stands = F.lit(True) if max_nodes is None else F.col("rank") <= max_nodes  # the first node shut out is kept as a mark
     for depth in range(1, max_depth + 1):
-        front = seen.filter(F.col("depth") == depth - 1).select("root", F.col("id").alias("at"), F.col("rank").alias("_r"))
-        walked = front.join(steps, "at").select("root", "to", "src", "dst", "_r", "pos")
-        if same_spec_only:
-            walked = walked.filter((spec_of(F.col("src")) == spec_of(F.col("root"))) & (spec_of(F.col("dst")) == spec_of(F.col("root"))))
-        walked = cut(walked)
-        if walked.isEmpty():
+        last = parts[-1].filter(F.col("depth") == depth - 1)
+        front = last.filter(stands).join(last.filter(~stands).select("root"), "root", "left_anti") if max_nodes is not None else last
+        place = F.lit(1).cast("bigint") if max_nodes is None else F.col("rank") * (max_nodes + 2) + F.col("no")
+        walked = front.select("root", F.col("id").alias("at"), "rank").join(steps, "at").select("root", F.col("to").alias("id"), place.alias("_o"))
+        seen = union(parts).filter(stands).select("root", "id", F.lit(0).cast("bigint").alias("_o"))
+        new = walked.unionByName(seen).groupBy("root", "id").agg(F.min("_o").alias("_o")).withColumn("rank", F.lit(1).cast("bigint"))
+        if max_nodes is not None:  # what is seen comes first, so that a rank counts on from there
+            new = new.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("_o")).cast("bigint")).filter(F.col("rank") <= max_nodes + 1)
+        new = cut(new.filter("_o > 0").select("root", "id", F.lit(depth).alias("depth"), "rank"), bare=True)
+        if new.isEmpty():
             break
-        links = walked.select("root", "src", "dst") if links is None else links.unionByName(walked.select("root", "src", "dst"))
-        fresh = walked.groupBy("root", F.col("to").alias("id")).agg(F.min(F.struct("_r", "pos")).alias("_o")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
-        count = seen.groupBy("root").agg(F.count("*").alias("_have"))
-        w = Window.partitionBy("root").orderBy("_o", "id")
-        ranked = fresh.withColumn("_n", F.row_number().over(w)).join(count, "root").withColumn("rank", (F.col("_n") + F.col("_have")).cast("bigint"))
-        if max_nodes is not None:
-            more = ranked.filter(F.col("rank") == max_nodes + 1).select("root").distinct()
-            over = more if over is None else over.unionByName(more)
-            ranked = ranked.filter(F.col("rank") <= max_nodes)
-        seen = cut(seen.unionByName(ranked.select("root", "id", F.lit(depth).alias("depth"), "rank")))
-    if links is None:
-        links = seen.limit(0).select("root", F.col("id").alias("src"), F.col("id").alias("dst"))
-    ids = seen.select("root", "id")
-    links = links.distinct().join(ids.withColumnRenamed("id", "src"), ["root", "src"], "left_semi").join(ids.withColumnRenamed("id", "dst"), ["root", "dst"], "left_semi")
-    flag = over.distinct().withColumn("truncated", F.lit(True)) if over is not None else None
+        parts.append(new)
+    nodes = union(parts)
+    over = nodes.filter(~stands).select("root", F.lit(True).alias("truncated"))
+    nodes = nodes.filter(stands).select("root", "id", "depth")
+    links = _links_within(nodes, numbered, direction, max_depth)
     if include or exclude:
-        keep = _with_bridges(seen, links, list(include), list(exclude), max_depth)
-        seen = seen.join(keep, ["root", "id"])
+        matched = names.filter(_matches(F.col("name"), list(include), list(exclude))).select(F.col("n").alias("id"))
+        links = cut(links, bare=True)
+        keep = _with_bridges(nodes, links, matched)
+        nodes = nodes.join(keep, ["root", "id"])
         links = links.join(keep.select("root", F.col("id").alias("src")), ["root", "src"], "left_semi").join(keep.select("root", F.col("id").alias("dst")), ["root", "dst"], "left_semi")
     else:
-        seen = seen.withColumn("role", F.lit(None).cast("string"))
-    nodes = seen.join(flag, "root", "left") if flag is not None else seen.withColumn("truncated", F.lit(False))
-    return nodes.select("root", "id", "depth", "role", F.coalesce("truncated", F.lit(False)).alias("truncated")), links.select("root", "src", "dst")
+        nodes = nodes.withColumn("role", F.lit(None).cast("string"))
+    nodes = nodes.join(over, "root", "left") if max_nodes is not None else nodes.withColumn("truncated", F.lit(False))
+    nodes = nodes.withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    return _named(nodes, names, "root", "id").select("root", "id", "depth", "role", "truncated"), _named(links, names, "root", "src", "dst").select("root", "src", "dst")
 
 
-def _with_bridges(seen: DataFrame, links: DataFrame, include: list[str], exclude: list[str], max_depth: int) -> DataFrame:
-    """root, id, role of matched nodes and of those on their shortest undirected paths to the root."""
-    links = cut(links)
+def _with_bridges(seen: DataFrame, links: DataFrame, matched: DataFrame) -> DataFrame:
+    """root, id, role of matched nodes and of those on their shortest undirected paths to the root. Ids are numbers from 0."""
     both = links.select("root", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select("root", F.col("dst").alias("a"), F.col("src").alias("b")))
-    tree = cut(seen.filter("depth = 0").select("root", "id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("d")))
+    none = F.lit(-1).cast("bigint").alias("up")
+    parts = [cut(seen.filter("depth = 0").select("root", "id", none, F.lit(0).alias("d")), bare=True)]
     d = 0
     while True:  # the undirected distance from the root may exceed max_depth only where links turn back
         d += 1
-        nxt = tree.filter(F.col("d") == d - 1).select("root", F.col("id").alias("a")).join(both, ["root", "a"]).groupBy("root", F.col("b").alias("id")).agg(F.min("a").alias("up")).join(tree.select("root", "id"), ["root", "id"], "left_anti")
-        nxt = cut(nxt.withColumn("d", F.lit(d)))
+        met = parts[-1].filter(F.col("d") == d - 1).select("root", F.col("id").alias("a")).join(both, ["root", "a"]).select("root", F.col("b").alias("id"), F.col("a").alias("up"))
+        nxt = met.unionByName(union(parts).select("root", "id", none)).groupBy("root", "id").agg(F.min("up").alias("up")).filter("up >= 0")
+        nxt = cut(nxt.withColumn("d", F.lit(d)), bare=True)
         if nxt.isEmpty():
             break
-        tree = cut(tree.unionByName(nxt.select(*tree.columns)))
-    matched = cut(tree.select("root", "id", "up", "d", ((F.col("id") == F.col("root")) | _matches(F.col("id"), include, exclude)).alias("m")))
-    keep = matched.filter("m").select("root", "id", "up", "d")
-    frontier = keep
+        parts.append(nxt)
+    tree = union(parts).select("root", "id", "up")
+    tree = cut(tree.join(matched.withColumn("m", F.lit(True)), "id", "left").select("root", "id", "up", ((F.col("id") == F.col("root")) | F.coalesce("m", F.lit(False))).alias("m")), bare=True)
+    kept = [tree.filter("m")]
     for _ in range(d):
-        frontier = cut(frontier.filter("up is not null").select("root", F.col("up").alias("id")).distinct().join(tree, ["root", "id"]).join(keep.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", "up", "d"))
-        if frontier.isEmpty():
+        ups = kept[-1].filter("up >= 0").select("root", F.col("up").alias("id")).distinct().join(union(kept).select("root", "id"), ["root", "id"], "left_anti")
+        more = cut(tree.join(ups, ["root", "id"], "left_semi").select("root", "id", "up", "m"), bare=True)
+        if more.isEmpty():
             break
-        keep = cut(keep.unionByName(frontier))
-    m = matched.select("root", "id", "m")
-    return keep.select("root", "id").join(m, ["root", "id"]).select("root", "id", F.when(F.col("id") == F.col("root"), "root").when(F.col("m"), "matched").otherwise("bridge").alias("role"))
+        kept.append(more)
+    return union(kept).select("root", "id", F.when(F.col("id") == F.col("root"), "root").when(F.col("m"), "matched").otherwise("bridge").alias("role"))
 
 
 def distances(edges: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:

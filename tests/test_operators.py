@@ -71,6 +71,46 @@ def test_neighbourhoods(spark, direction):
         graph.neighbourhoods(e, nodes.select("id"), direction, 1, 0)
 
 
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("direction", ["incoming", "both"])
+def test_hub_is_not_opened_for_each_root(spark, direction):
+    """60 roots share a node with 3,000 links; the walk to a cap of 6 moves a few rows a link, not 60 times all links."""
+    edges = [(f"S#n{i:04d}", "S#hub", 0, i) for i in range(3000)] + [("S#hub", f"S#r{i:02d}", i % 3, 5000 + i) for i in range(60)] + [(f"S#r{i:02d}", "S#hub", 1, 6000 + i) for i in range(60)]
+    roots = [f"S#r{i:02d}" for i in range(60)]
+    before = shuffled_rows(spark)
+    nodes, links = graph.neighbourhoods(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(x,) for x in roots], "id string"), direction, 2, 6)
+    got, lk = nodes.collect(), links.collect()
+    moved = sum(n for k, n in shuffled_rows(spark).items() if k not in before)
+    for x in roots:
+        seen, want_links, was_cut = queue_walk(edges, x, direction, 2, 6)
+        assert {r.id: (r.depth, r.truncated) for r in got if r.root == x} == {k: (v, was_cut) for k, v in seen.items()}
+        assert {(r.src, r.dst) for r in lk if r.root == x} == want_links
+    assert moved < 40 * len(edges), moved
+
+
+def test_neighbourhoods_on_odd_links(spark):
+    """Parallel links, links to themselves, a root without links, null ends and roots, a walk within one spec, no cap."""
+    edges = random_graph(11)
+    edges += [(a, b, o + 1, i + 1000) for a, b, o, i in edges[:8]] + [(edges[0][0], edges[0][0], 0, 2000)]
+    e = spark.createDataFrame([*edges, (edges[0][0], None, 0, 3000), (None, edges[0][0], 0, 3001)], EDGE)
+    roots = [*sorted({a for a, *_ in edges})[:4], "S0#none"]
+    own = [x for x in edges if x[0][:2] == x[1][:2]]
+    for cap, same in ((4, False), (4, True), (None, True)):
+        nodes, links = graph.neighbourhoods(e, spark.createDataFrame([(x,) for x in [*roots, None, roots[0]]], "id string"), "both", 2, cap, same_spec_only=same)
+        got, lk = nodes.collect(), links.collect()
+        assert {r.root for r in got} == set(roots)
+        for x in roots:
+            seen, want_links, was_cut = queue_walk(own if same else edges, x, "both", 2, cap or 1000)
+            assert sorted((r.id, r.depth, r.truncated) for r in got if r.root == x) == sorted((k, v, was_cut) for k, v in seen.items())
+            assert sorted((r.src, r.dst) for r in lk if r.root == x) == sorted(want_links)
+
+
 def test_bridges(spark):
     e = spark.createDataFrame([("S#r", "S#m", 0, 1), ("S#m", "S#want", 0, 2), ("S#r", "S#x", 1, 3)], EDGE)
     nodes, links = graph.neighbourhoods(e, spark.createDataFrame([("S#r",)], "id string"), include=["*want"])
